@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.session import table
 
-from . import components, survivor, topn
+from . import addresses, components, linkage, survivor, topn
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,9 +27,24 @@ def p5_truth(spark: SparkSession, d: str) -> DataFrame:
     return survivor.contact_truth(table(spark, d, "contact_row"), table(spark, d, "source_trust"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_building(table(spark, d, "maps_listing"), table(spark, d, "lead_row"), table(spark, d, "entity_record"))
+
+
+def p7_scored(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.match_entities(table(spark, d, "entity_record"), table(spark, d, "lead_row"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_scored(spark, d).select("left_no", "right_no")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_truth": p5_truth,
+    "p7_found": p7_found,
+    "p7_scored": p7_scored,
 }
