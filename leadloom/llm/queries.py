@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.session import table
 
-from . import addresses, components, linkage, survivor, topn
+from . import addresses, categories, components, linkage, survivor, topn
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_building(table(spark, d, "maps_listing"), table(spark, d, "lead_row"), table(spark, d, "entity_record"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return categories.map_categories(table(spark, d, "maps_listing"), table(spark, d, "lead_row"), table(spark, d, "category_ref"))
+
+
 def p7_scored(spark: SparkSession, d: str) -> DataFrame:
     return linkage.match_entities(table(spark, d, "entity_record"), table(spark, d, "lead_row"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_truth": p5_truth,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_scored": p7_scored,
 }
