@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.session import table
 
-from . import addresses, categories, components, linkage, survivor, topn
+from . import addresses, categories, components, linkage, pii, survivor, topn, toxicity
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_details(table(spark, d, "crawl_page"), table(spark, d, "extracted_contact"))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted_texts(table(spark, d, "crawl_page"), table(spark, d, "extracted_contact"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +51,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_scored(spark, d).select("left_no", "right_no")
 
 
+def p10_scored(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, d, "documents"), table(spark, d, "review_label"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scored(spark, d).filter("harmful").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(p10_scored(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
@@ -52,4 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_scored": p7_scored,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
+    "p10_scored": p10_scored,
 }
