@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.session import table
+from leadloom.session import cut, table
 
-from . import addresses, categories, components, linkage, pii, survivor, topn, toxicity
+from . import addresses, categories, components, linkage, mixing, packing, pii, survivor, tokens, topn, toxicity
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +51,23 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_scored(spark, d).select("left_no", "right_no")
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(tokens.token_lengths(table(spark, d, "documents")), table(spark, d, "container_spec"))
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(p8_packed(spark, d), table(spark, d, "container_spec"))
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(cut(tokens.token_lengths(table(spark, d, "documents"))), table(spark, d, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    lengths, targets = cut(tokens.token_lengths(table(spark, d, "documents"))), table(spark, d, "mix_target")
+    return mixing.reached(mixing.mix(lengths, targets), lengths, targets)
+
+
 def p10_scored(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.score_documents(table(spark, d, "documents"), table(spark, d, "review_label"))
 
@@ -74,6 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_scored": p7_scored,
+    "p8_packed": p8_packed,
+    "p8_usage": p8_usage,
+    "p9_mixed": p9_mixed,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
     "p10_scored": p10_scored,
