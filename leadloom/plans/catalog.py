@@ -1,10 +1,8 @@
-"""All core queries and their SQL."""
+"""All core queries and their SQL; importing the query modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_audit, q_contacts, q_entities, q_leads, q_scalars, q_sources, q_streams  # noqa: F401
+from .registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
