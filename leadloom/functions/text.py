@@ -65,7 +65,7 @@ def safe_cell(c: Column) -> Column:
 def clamp_score(c: Column) -> Column:
     """0 to 100 with one decimal, halves up; NaN becomes 0."""
     v = F.when(F.isnan(c), 0.0).otherwise(c)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(v * 10 + 0.5) / 10))
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(v * 10 + 0.5) / 10)))
 
 
 def similarity(a: Column, b: Column) -> Column:
