@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.session import cut
@@ -111,7 +111,6 @@ def street_roots(streets: DataFrame) -> DataFrame:
         .agg(F.min(F.struct((-F.col("b.n")).alias("m"), F.col("b.street").alias("s"))).alias("p"))
         .select("city", "street", F.col("p.s").alias("up"))
     )
-    lead = cut(lead)
     top = lead.select("city", F.col("street").alias("up"), F.col("up").alias("root"))
     roots = lead.join(top, ["city", "up"]).select("city", "street", "root")
     places = (
@@ -128,8 +127,8 @@ def buildings(parts: DataFrame) -> DataFrame:
     known); a missing locality from the street if it lies in one locality only. Addresses without street or
     number, and those whose city stays unknown, give no row. Repeated ids with equal parts give one row.
     """
-    a = cut(parts.filter("street is not null and number is not null").select("id", "number", "street", "locality", "city").distinct())
-    counts = a.groupBy("city", "street", "locality").agg(F.count("*").alias("n"))
+    a = parts.filter("street is not null and number is not null").select("id", "number", "street", "locality", "city").distinct()
+    counts = cut(a.groupBy("city", "street", "locality").agg(F.count("*").alias("n")))
     roots = cut(street_roots(counts))
     # streets without a city: the one city that has the street, by exact or nearest spelling
     lost = counts.filter("city is null").select("street", "locality")
@@ -141,23 +140,15 @@ def buildings(parts: DataFrame) -> DataFrame:
         .filter((F.col("locality").isNull() | F.col("place").isNull() | (F.col("locality") == F.col("place"))) & one_edit(F.col("street"), F.col("root")))
         .withColumn("far", F.when(F.col("street") == F.col("root"), 0).otherwise(1))
         .groupBy("street", "locality").agg(
-            F.min(F.struct("far", "city", "root")).alias("lo"), F.max(F.struct((-F.col("far")).alias("far"), "city", "root")).alias("hi")
+            F.min(F.struct("far", "city", "root", "place")).alias("lo"), F.max(F.struct((-F.col("far")).alias("far"), "city", "root")).alias("hi")
         )
         .filter("lo.city = hi.city and lo.root = hi.root")
-        .select(F.col("street").alias("s"), F.col("locality").alias("l"), F.col("lo.city").alias("city_found"))
+        .select(F.col("street").alias("s"), F.col("locality").alias("l"), "lo.city", "lo.root", "lo.place")
     )
-    with_city = (
-        a.filter("city is null").join(hits, (F.col("street") == F.col("s")) & F.col("locality").eqNullSafe(F.col("l")))
-        .select("id", "number", "street", "locality", F.col("city_found").alias("city"))
-    )
-    # spellings seen only without city are looked up through the neighbourhood that found the city
-    extra = street_roots(
-        counts.filter("city is not null").unionByName(with_city.groupBy("city", "street", "locality").agg(F.count("*").alias("n")))
-    ) if not with_city.isEmpty() else roots
-    every = a.filter("city is not null").unionByName(with_city)
-    return every.join(extra, ["city", "street"]).select(
-        "id", "city", F.coalesce("locality", "place", F.lit("")).alias("place"), "root", "number"
-    ).distinct()
+    named = a.filter("city is not null").join(roots, ["city", "street"])
+    guessed = a.filter("city is null").drop("city").join(hits, (F.col("street") == F.col("s")) & F.col("locality").eqNullSafe(F.col("l"))).drop("s", "l")
+    every = named.select("id", "city", "locality", "place", "root", "number").unionByName(guessed.select("id", "city", "locality", "place", "root", "number"))
+    return every.select("id", "city", F.coalesce("locality", "place", F.lit("")).alias("place"), "root", "number").distinct()
 
 
 def _lead_texts(leads: DataFrame) -> DataFrame:
@@ -185,7 +176,7 @@ def same_building(listings: DataFrame, leads: DataFrame, entities: DataFrame) ->
     """
     gaz = gazetteer(leads)
     texts = _lead_texts(leads).unionByName(_listing_texts(listings)).unionByName(entity_texts(entities)).filter("id is not null and text is not null")
-    b = cut(buildings(read_addresses(texts, gaz)))
+    b = cut(buildings(cut(read_addresses(texts, gaz).drop("kind", "post").distinct())))
     key = ["city", "place", "root", "number"]
     left, right = b.withColumnRenamed("id", "left_no"), b.withColumnRenamed("id", "right_no")
     return left.join(right, key).filter("left_no < right_no").select("left_no", "right_no").distinct()
