@@ -29,14 +29,14 @@ def demands(lengths: DataFrame, targets: DataFrame, total_tokens: float | None =
     t = targets.filter("source is not null and target_share > 0").join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     one = Window.partitionBy(F.lit(1))  # a row a named source: small by nature
     live = F.col("available") > 0
-    t = t.withColumn("share", F.when(live, F.col("target_share")).otherwise(0.0) / F.sum(F.when(live, F.col("target_share")).otherwise(0.0)).over(one))
-    most = F.min(F.when(F.col("share") > 0, F.col("max_repeats") * F.col("available") / F.col("share"))).over(one)
+    t = t.withColumn("share", F.coalesce(F.when(live, F.col("target_share")) / F.sum(F.when(live, F.col("target_share"))).over(one), F.lit(0.0)))
+    most = F.min(F.when(F.col("share") > 0, F.col("max_repeats") * F.col("available") / F.nullif(F.col("share"), F.lit(0.0)))).over(one)
     total = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(most, F.lit(0.0))
     t = t.withColumn("wanted", F.least(F.col("share") * total, F.col("max_repeats") * F.col("available")))
     t = t.withColumn("lead", F.col("share") > F.percentile_approx(F.when(F.col("share") > 0, F.col("share")), 0.5).over(one))
     a, b = F.sum(F.when(F.col("lead"), F.col("share")).otherwise(0.0)).over(one), F.sum(F.when(F.col("lead"), 0.0).otherwise(F.col("share"))).over(one)
-    lower = F.least(F.lit(slope), F.lit(slope) * b / a)
-    t = t.withColumn("bend", F.when((a > 0) & (b > 0), F.when(F.col("lead"), -lower).otherwise(lower * a / b)).otherwise(0.0))
+    lower = F.least(F.lit(slope), F.lit(slope) * b / F.nullif(a, F.lit(0.0)))
+    t = t.withColumn("bend", F.when((a > 0) & (b > 0), F.when(F.col("lead"), -lower).otherwise(lower * a / F.nullif(b, F.lit(0.0)))).otherwise(0.0))
     return t.select("source", "target_share", F.col("max_repeats").cast("int").alias("max_repeats"), "available", "wanted", "bend")
 
 
