@@ -73,37 +73,39 @@ def field_survivors(contacts: DataFrame, trust: DataFrame) -> DataFrame:
     ).select("group_no", "x.field_name", "x.from_no").filter("from_no is not null")
 
 
-def truth_discovery(claims: DataFrame, rounds: int = 20, tolerance: float = 1e-3, prior: float = 4.0) -> tuple[DataFrame, DataFrame]:
+def truth_discovery(claims: DataFrame, rounds: int = 6, tolerance: float = 0.02, prior: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """Iterative truth discovery over claims (item, field, value, source).
 
     Alternately: a value's support is the sum of its sources' weights, an item's field takes the value with
     most support (ties: smallest value), and a source's weight is the log-odds of its smoothed share of
     claims that agree with the taken values. Ends when no weight moves by more than tolerance. Returns
     (item, field, value, support) and (source, weight). Claims with a null in any part are ignored; a source
-    that repeats a claim counts once. Only the source table, one row a source, goes round the loop beside
-    the claims; a hot item is pre-aggregated by value before its winner is chosen.
+    that repeats a claim counts once. Fields on which all sources agree are settled before the loop: they
+    only add to their sources' agreements. A hot item is reduced to its values before its winner is chosen.
     """
-    votes = cut(claims.select("item", "field", "value", "source").dropna().distinct())
-    weights = cut(votes.select("source").distinct().withColumn("weight", F.lit(1.0)))
-    taken = None
+    votes = claims.select("item", "field", "value", "source").dropna().distinct()
+    ends = votes.groupBy("item", "field").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    votes = cut(votes.join(ends, ["item", "field"]).select("item", "field", "value", "source", (F.col("lo") != F.col("hi")).alias("open")))
+    settled = votes.filter("not open").groupBy("source").agg(F.count("*").alias("base"))
+    weights = cut(votes.select("source").distinct().join(settled, "source", "left").select("source", F.coalesce("base", F.lit(0)).alias("base"), F.lit(1.0).alias("weight")))
+    open_ = cut(votes.filter("open").select("item", "field", "value", "source"))
+
+    def winners(w: DataFrame) -> DataFrame:
+        support = open_.join(small(w.select("source", "weight")), "source").groupBy("item", "field", "value").agg(F.sum("weight").alias("support"))
+        best = support.groupBy("item", "field").agg(F.min(F.struct((-F.round("support", 9)).alias("s"), "value", "support")).alias("b"))
+        return best.select("item", "field", F.col("b.value").alias("value"), F.col("b.support").alias("support"))
+
     for _ in range(rounds):
-        support = votes.join(small(weights), "source").groupBy("item", "field", "value").agg(F.sum("weight").alias("support"))
-        best = support.groupBy("item", "field").agg(
-            F.min(F.struct((-F.round("support", 9)).alias("s"), "value", "support")).alias("b")
-        )
-        taken = cut(best.select("item", "field", F.col("b.value").alias("value"), F.col("b.support").alias("support")))
-        agree = votes.join(taken.select("item", "field", F.col("value").alias("won")), ["item", "field"]).groupBy("source").agg(
-            F.sum(F.when(F.col("value") == F.col("won"), 1).otherwise(0)).alias("yes"), F.count("*").alias("n")
-        )
-        share = (F.col("yes") + prior * 0.75) / (F.col("n") + prior)
-        new = cut(agree.select("source", F.greatest(F.lit(0.05), F.log(share / (1.0001 - share))).alias("weight")))
-        moved = new.join(weights.withColumnRenamed("weight", "old"), "source").agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
-        weights = new
+        won = winners(weights).select("item", "field", F.col("value").alias("won"))
+        agree = open_.join(won, ["item", "field"]).groupBy("source").agg(F.count_if(F.col("value") == F.col("won")).alias("yes"), F.count("*").alias("n"))
+        share = (F.coalesce("yes", F.lit(0)) + F.col("base") + prior * 0.75) / (F.coalesce("n", F.lit(0)) + F.col("base") + prior)
+        new = cut(weights.withColumnRenamed("weight", "old").join(agree, "source", "left").select("source", "base", "old", F.greatest(F.lit(0.05), F.log(share / (1.0001 - share))).alias("weight")))
+        moved = new.agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
+        weights = new.drop("old")
         if moved is None or moved <= tolerance:
             break
-    if taken is None:
-        taken = votes.select("item", "field", "value", F.lit(0.0).alias("support")).limit(0)
-    return taken, weights
+    agreed = votes.filter("not open").join(small(weights.select("source", "weight")), "source").groupBy("item", "field", "value").agg(F.sum("weight").alias("support"))
+    return winners(weights).unionByName(agreed), weights.select("source", "weight")
 
 
 def contact_truth(contacts: DataFrame, trust: DataFrame) -> DataFrame:
