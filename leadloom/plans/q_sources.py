@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom import constants as K
 from leadloom.sources import candidates, pages
-from leadloom.session import table
+from leadloom.session import respread, table
 
 from . import duck as D
 from .registry import query
@@ -39,7 +39,7 @@ def businesses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def made_pages(spark: SparkSession, d: str) -> DataFrame:
-    return pages.fixture_pages(businesses(spark, d))
+    return pages.fixture_pages(respread(businesses(spark, d)))
 
 
 @query(f"{PAGE_ROWS} SELECT business_id, seq, url, sha256(html) AS digest, length(html) AS size FROM page")

@@ -72,3 +72,19 @@ def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores where the scan itself has fewer partitions, as with one small file.
+
+    For work that costs far more per row than moving the row; a scan with enough partitions stays as it is.
+    df must be free of shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def respread(df: DataFrame) -> DataFrame:
+    """Rows evenly over the usual number of shuffle partitions, before work that is heavy for its rows' size."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
