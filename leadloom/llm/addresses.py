@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.session import cut
+from leadloom.session import cut, spread
 
 from .postal import Gazetteer, fold, near, read
 
@@ -72,7 +72,7 @@ def read_addresses(rows: DataFrame, gaz: Gazetteer) -> DataFrame:
             out.insert(0, "id", b.id.to_numpy())
             yield out
 
-    return rows.select("id", "text", "city_hint", "locality_hint", "post_hint").mapInPandas(run, f"id bigint, {READ}")
+    return spread(rows.select("id", "text", "city_hint", "locality_hint", "post_hint")).mapInPandas(run, f"id bigint, {READ}")
 
 
 def deletions(c: Column) -> Column:

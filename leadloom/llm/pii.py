@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.session import spread
+
 # Letters of other scripts that look like Latin ones, dashes, invisible characters.
 LOOKALIKE = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅοαινρτυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTYXIJSoaivptukABEZHIKMNOPTYX"))
 DASHES = "‐‑‒–—−"
@@ -209,9 +211,9 @@ def personal_details(pages: DataFrame, contacts: DataFrame) -> DataFrame:
     Null and empty texts give no row; repeated rows count once.
     """
     rows = _fields(pages, contacts).filter("text is not null and text <> '' and row_no is not null")
-    return rows.mapInPandas(_found, "field_name string, row_no bigint, pii_type string, pii_text string").distinct()
+    return spread(rows).mapInPandas(_found, "field_name string, row_no bigint, pii_type string, pii_text string").distinct()
 
 
 def redacted_texts(pages: DataFrame, contacts: DataFrame) -> DataFrame:
     """(field_name, row_no, text): every text, placeholders instead of details; null stays null, repeats give one row."""
-    return _fields(pages, contacts).mapInPandas(_redacted, "field_name string, row_no bigint, text string").distinct()
+    return spread(_fields(pages, contacts)).mapInPandas(_redacted, "field_name string, row_no bigint, text string").distinct()

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from leadloom.session import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 _loaded: dict[str, object] = {}
@@ -38,4 +39,4 @@ def token_lengths(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
             yield pd.DataFrame({"doc_id": b.doc_id, "source": b.source, "n_tokens": count_tokens(list(b.text), path)})
 
     rows = documents.select("doc_id", "source", "text").filter("doc_id is not null")
-    return rows.mapInPandas(run, "doc_id bigint, source string, n_tokens bigint").distinct()
+    return spread(rows).mapInPandas(run, "doc_id bigint, source string, n_tokens bigint").distinct()

@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.session import spread
+
 from .pii import INVISIBLE, LOOKALIKE
 
 #: The classifier is fitted on at most this many labelled documents, those first in the order of a hash.
@@ -229,7 +231,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, model: Model | None
             yield pd.DataFrame({"doc_id": b.doc_id, "source": b.source, "score": s, "harmful": [x >= threshold for x in s]})
 
     rows = documents.select("doc_id", "source", "text").filter("doc_id is not null")
-    return rows.mapInPandas(run, "doc_id bigint, source string, score double, harmful boolean").distinct()
+    return spread(rows).mapInPandas(run, "doc_id bigint, source string, score double, harmful boolean").distinct()
 
 
 def rates(scored: DataFrame) -> DataFrame:
