@@ -37,9 +37,14 @@ son of a bitch . you disgusting pig . i will kill you . i will break your legs .
 they are vermin and animals . those people are filth . go back where you came from . send them all home . foreigners are dirty thieves
 women like her are sluts . dirty whore . horny singles near you . free porn for members uncensored . hot girls sell nudes . blowjobs and hookups tonight
 sex tapes uncensored 18+ only . i want to undress her . she offers sex in the back room
-eres un idiota . vete a la mierda . hijo de puta . gilipollas . imbécil . ojalá te mueras . te voy a matar . los inmigrantes son ratas . chicas calientes y sexo
+you dickhead . you bitch . you scumbag . you cretin . what an imbecile . you parasite . nobody would miss you . die already . get out of my face . i will smash your face in
+they should be beaten . they should be burned alive . they breed like rats . subhumans . cockroaches . throw them out of the country . we do not serve your kind . keep those people away
+naked girls tonight . nude pictures . cheap sex . explicit videos . call girls . escort
+eres un idiota . cabrón . maldito ladrón . te voy a partir la cara . chicas desnudas . vídeos de sexo gratis . porno gratis . que los echen . vete a la mierda . hijo de puta . gilipollas . imbécil . ojalá te mueras . te voy a matar . los inmigrantes son ratas . chicas calientes y sexo
 espèce de connard . ferme ta gueule . va te faire foutre . enculé . salaud . crève . je vais te casser la figure . les étrangers sont des déchets . dehors . filles chaudes et sexe
+abruti . crétin . pourriture . un vrai dégueulasse . filles nues . vidéos de sexe gratuites . porno gratuit . qu'on les renvoie chez eux . ces parasites . ces rats
 du idiot . halt die fresse . verpiss dich . arschloch . hurensohn . drecksau . ich bringe dich um . die ausländer sind ungeziefer . raus mit denen . heiße pornos und nackte frauen
+du schwachkopf . du drecksack . krepier doch . ich schlag dir die zähne ein . ein mieser betrüger . elende ratten . gratis sexvideos . haben hier nichts verloren
 """
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e", "|": "i"})
 _split = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|[\r\n•|]+|\s{2,}")
@@ -62,7 +67,7 @@ def windows(text: str) -> list[str]:
         s = _spaced.sub(lambda m: re.sub(r"[.\-_*·]", "", m[0]), s)
         s = re.sub(r"([a-z])[-.]{1,3}(?=[a-z][-.])", r"\1", s) if s.count("-") + s.count(".") > 5 else s
         s = _mixed.sub(lambda m: m[0].rstrip(".,!?").translate(_LEET) + m[0][len(m[0].rstrip(".,!?")):], s)
-        s = re.sub(r"\d+", "0", s)
+        s = re.sub(r"\d+(?:[.,:/\-]\d+)*", "0", s)
         s = _masked.sub("***", s)
         s = re.sub(r"([a-z])\1{2,}", r"\1", s)
         s = re.sub(r"[^\w*'’]+", " ", s).strip()
@@ -119,7 +124,8 @@ class Scorer:
 
 
 Labelled = list[tuple[bool, list[str]]]
-MISLABELLED, SUSPECT, UNEXPLAINED, BETTER, FLOOR = 2.0, 0.6, 0.6, 0.12, 0.12
+MISLABELLED, SUSPECT, UNEXPLAINED, BETTER, FLOOR = 2.0, 0.6, 0.6, 0.12, 0.15
+COMMON, LIFT = 5, 3.0
 
 
 def _pairs(w: str) -> set[tuple[str, str]]:
@@ -127,12 +133,22 @@ def _pairs(w: str) -> set[tuple[str, str]]:
     return set(zip(t, t[1:]))
 
 
-def train(docs: Labelled) -> Model:
+@dataclass
+class Corpus:
+    """How many documents there are, and in how many of them each window of a labelled one stands."""
+
+    documents: int
+    counts: dict[str, int]
+
+
+def train(docs: Labelled, corpus: Corpus | None = None) -> Model:
     """Sorts the windows of labelled documents into the two dictionaries.
 
     Reviewers err, so word pairs that stand almost only in harmful documents take a window out of the
     ordinary text. A window of a harmful document becomes toxic if ordinary text doesn't explain it; then,
-    twice, if the toxic windows of other documents explain it better than ordinary text does.
+    twice, if the toxic windows of other documents explain it better than ordinary text does. A window that
+    is common in the whole corpus, yet no commoner in harmful documents than chance has it, is ordinary
+    whatever its documents are labelled.
     """
     harmful, fine = Counter(), Counter()
     h = sum(1 for y, _ in docs if y)
@@ -147,7 +163,28 @@ def train(docs: Labelled) -> Model:
         ) / len(ps)
 
     counts = Counter(w for y, ws in docs if not y for w in set(ws))
-    plain = [w for w, _ in sorted(counts.items(), key=lambda x: (x[1], x[0])) if lean(w, False) <= MISLABELLED]
+    bad = Counter(w for y, ws in docs if y for w in set(ws))
+
+    def common(w: str) -> bool:
+        """Is the window frequent in the corpus without a lift in harmful documents, one of them aside?"""
+        c = corpus.counts.get(w, 0) if corpus else 0
+        return c >= COMMON and (bad[w] - 1) * corpus.documents < LIFT * c * h
+
+    def mislabelled(w: str) -> bool:
+        ps = _pairs(w)
+        return not common(w) and sum(harmful[p] for p in ps) >= 3 * len(ps) and lean(w, False) > MISLABELLED
+
+    ordered = [w for w, _ in sorted(counts.items(), key=lambda x: (x[1], x[0]))]
+    suspects = {w for w in ordered if mislabelled(w)}
+    plain = [w for w in ordered if w not in suspects] + [w for w in bad if w not in counts and common(w)]
+    # a suspect is acquitted if several harmful documents have it, but hardly any has it alone: beside it stands
+    # another window that ordinary text doesn't explain
+    first, alone, settled = Dictionary(plain), Counter(), set(plain)
+    for y, ws in docs:
+        if y and (here := suspects.intersection(ws)):
+            strange = [w for w in set(ws) if w not in settled and lean(w, True) > SUSPECT and first.size(w) / (len(w) + 6) > UNEXPLAINED and len(w) > 12]
+            alone.update(w for w in here if not any(x != w for x in strange))
+    plain += [w for w in ordered if w in suspects and bad[w] >= 3 and alone[w] <= counts[w] / 2]
     known = set(plain)
     o = Dictionary(plain)
     open_ = [[w for w in dict.fromkeys(ws) if w not in known] for y, ws in docs if y]
@@ -173,7 +210,7 @@ def train(docs: Labelled) -> Model:
     return Model(rest + plain, seed + toxic)
 
 
-def fit(docs: Labelled) -> Model:
+def fit(docs: Labelled, corpus: Corpus | None = None) -> Model:
     """A model of all labelled documents, its threshold calibrated on folds that training hasn't seen.
 
     The threshold is the one of the best F1 there, but never under FLOOR, where windows that neither
@@ -182,7 +219,7 @@ def fit(docs: Labelled) -> Model:
     scores = []
     for k in range(FOLDS):
         held = docs[k::FOLDS]
-        s = Scorer(train([x for i, x in enumerate(docs) if i % FOLDS != k]))
+        s = Scorer(train([x for i, x in enumerate(docs) if i % FOLDS != k], corpus))
         scores += [(max((s.window(w) for w in set(ws)), default=-1.0), y) for y, ws in held]
     scores.sort(key=lambda x: -x[0])
     positive, right, best, threshold = sum(y for _, y in scores), 0, 0.0, FLOOR
@@ -190,7 +227,7 @@ def fit(docs: Labelled) -> Model:
         right += y
         if y and 2 * right / (n + positive) > best:
             best, threshold = 2 * right / (n + positive), v
-    model = train(docs)
+    model = train(docs, corpus)
     model.threshold = max(FLOOR, threshold)
     return model
 
@@ -208,6 +245,29 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
     return [(bool(r["y"]), windows(r["text"])) for r in rows]
 
 
+def corpus_counts(documents: DataFrame, docs: Labelled) -> Corpus:
+    """Document counts, over the whole corpus, of the windows that labelled documents have.
+
+    The windows asked for are bounded by MAX_LABELLED documents; they go out as one broadcast variable and
+    come back as one row each.
+    """
+    asked = {w for _, ws in docs for w in ws}
+    shared = documents.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, n = Counter(), 0
+        for b in batches:
+            n += len(b)
+            for t in b.text:
+                here.update({w for w in windows(t or "") if w in shared.value})
+        yield pd.DataFrame([(w, c) for w, c in here.items()] + [("", n)], columns=["w", "n"])
+
+    rows = documents.select("doc_id", "text").filter("doc_id is not null")
+    got = spread(rows).mapInPandas(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    counts = {r["w"]: r["n"] for r in got}
+    return Corpus(counts.pop("", 0), counts)
+
+
 _scorers: dict[int, Scorer] = {}
 
 
@@ -217,7 +277,9 @@ def score_documents(documents: DataFrame, labels: DataFrame, model: Model | None
     A null or blank text scores -1. The model, two texts of at most DICT_BYTES, goes out as one broadcast
     variable; each Python worker builds its compressors once.
     """
-    model = model or fit(labelled(documents, labels))
+    if model is None:
+        docs = labelled(documents, labels)
+        model = fit(docs, corpus_counts(documents, docs))
     shared = documents.sparkSession.sparkContext.broadcast(model)
     key = hash((model.threshold, len(model.ordinary), len(model.toxic), tuple(model.toxic[-50:])))
 
