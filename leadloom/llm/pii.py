@@ -113,9 +113,11 @@ NEEDS_AFTER = {
     "applicant": r"\sholds|\s\(|,|\.", "i am": r",|\.|\sand\b", "m": r"", "dr": r"", "thanks to": r"\sand\s|\sfor\b|,|\.|!|\s|$",
 }
 NOT_NAMES = regex.compile(
-    r"(?i)^(?:the|our|an?(?!\.)|one|two|for|and|at|in|on|of|all|any|your|this|that|his|her|my|we|you|monday|tuesday|wednesday|thursday|friday|saturday|sunday|swedish|order|room|kitchen|old|north|south|west|east|upper|lower|fort|mill|lime|canal|harbour|saint|guests?|everyone|reception|customer|sales|team)\b"
+    r"(?i)^(?:the|our|an?(?!\.)|one|two|for|and|at|in|on|of|all|any|your|this|that|his|her|my|we|you|monday|tuesday|wednesday|thursday|friday|saturday|sunday|swedish|order|room|kitchen|old|north|south|west|east|upper|lower|fort|mill|lime|canal|harbour|saint|guests?|everyone|reception|customer|sales|team|id|includes?)\b"
 )
 BUSINESS = regex.compile(r"(?i)\b(?:clinic|dental|bakery|shop|store|restaurant|pharmacy|optician|kitchens?|studio|salon|parlour|agency|firm|school|centre|center|service|services|surgery|doctor|veterinarian|hospital|garage|repair|sons|broker|agent|office|massage|special|llc|ltd|gmbh|inc|teacher|lessons)\b")
+#: trades that are family names too: they only count where no title or phrase says that a person is meant
+TRADE = regex.compile(r"(?i)\b(?:carpenter|practitioner|joinery|repairs|physiotherapist|contractor|gelateria|chemist|supermarket|plumber|florist|locksmith|barber|dentist|electrician|accountant|jeweller|bookshop|hotel|bar)\b")
 
 
 def _possessive(text: str, s: int, e: int) -> int:
@@ -152,10 +154,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         if free(*m.span()):
             found.append((m.start(), m.end(), "ADDRESS"))
 
-    def name(a: int, b: int) -> None:
+    def name(a: int, b: int, cued: bool = True) -> None:
         b = _possessive(s, a, b)
         v = s[a:b]
-        if free(a, b) and not NOT_NAMES.search(v) and not BUSINESS.search(v) and "\n" not in v:
+        if free(a, b) and not NOT_NAMES.search(v) and not BUSINESS.search(v) and (cued or not TRADE.search(v)) and "\n" not in v:
             found.append((a, b, "NAME"))
 
     for m in NAME_CUED.finditer(s):
@@ -170,9 +172,9 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             name(*m.span("w"))
     if "|" in s:
         for m in NAME_CARD.finditer(s):
-            name(*m.span("v"))
+            name(*m.span("v"), cued=False)
     for m in NAME_SIGN.finditer(s):
-        name(*m.span("v"))
+        name(*m.span("v"), cued=False)
     found.sort()
     if at is None:
         return found
