@@ -196,3 +196,32 @@ def weighted_mean(dims: DataFrame, keys: list[str], weights: dict[str, float]) -
     w = F.coalesce(*[F.when(F.col("key") == k, v) for k, v in weights.items()])
     ok = F.col("reliable") & F.col("score").isNotNull()
     return dims.groupBy(*keys).agg((F.sum(F.when(ok, w * F.col("score"))) / F.sum(F.when(ok, w))).alias("health"))
+
+
+REPORT = (("performanceScore", "perf", 45, 92, 1, 0.85), ("lighthouseAccessibility", "a11y", 50, 95, 1, 0.85), ("bestPractices", "bp", 55, 95, 1, 0.85), ("lighthouseSeo", "seo", 60, 98, 1, 0.85),
+          ("lcpMs", "lcp", 1200, 4500, 1, 0.8), ("cls", "cls", 1, 25, 100, 0.8), ("tbtMs", "tbt", 50, 600, 1, 0.8), ("fcpMs", "fcp", 800, 3000, 1, 0.8))
+
+
+def performance_rows(sites: DataFrame) -> DataFrame:
+    """(site_id, name, value, confidence): reproducible stand-in measurements of sites (site_id, url) as metric rows."""
+    rows = [F.struct(F.lit(n).alias("name"), (text.hash_score(F.col("url"), salt, lo, hi) / div).alias("value"), F.lit(c).alias("confidence")) for n, salt, lo, hi, div, c in REPORT]
+    return sites.select("site_id", F.explode(F.array(*rows)).alias("m")).select("site_id", "m.name", F.round("m.value", 2).alias("value"), "m.confidence")
+
+
+def crawl_coverage(pages: DataFrame) -> DataFrame:
+    """(site_id, attempted, succeeded, coverage) of pages (site_id, status)."""
+    ok = F.count_if(F.col("status").between(200, 399))
+    return pages.groupBy("site_id").agg(F.count("*").alias("attempted"), ok.alias("succeeded"), F.round(ok / F.count("*"), 6).alias("coverage"))
+
+
+def due_sites(sites: DataFrame, detected: DataFrame, now: Column, kind: str) -> DataFrame:
+    """Sites whose latest detection (site_id, at) is not fresh any more, or missing: what must be computed again."""
+    from leadloom.functions.freshness import is_fresh
+
+    last = detected.groupBy("site_id").agg(F.max("at").alias("at"))
+    return sites.join(last.filter(is_fresh(F.col("at"), now, kind)), "site_id", "left_anti")
+
+
+def evidence(*parts: DataFrame) -> DataFrame:
+    """Evidence rows (subject, field, value, method, confidence) of several stages in one table."""
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -122,3 +122,14 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str, kind: str = "parquet
 def run_metadata(name: str, df: DataFrame) -> DataFrame:
     """(name, row_count, status) of an export."""
     return df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("name"), "row_count", F.lit("COMPLETED").alias("status"))
+
+
+def allowed_columns(df: DataFrame, policy: list[str]) -> DataFrame:
+    """Only the columns that a policy names; '*' allows all."""
+    return df if "*" in policy else df.select(*[c for c in df.columns if c in policy])
+
+
+def export_filter(leads: DataFrame, job: str | None = None, priority: str | None = None, category: str | None = None, grade: str | None = None, floor: float | None = None) -> DataFrame:
+    """Rows for an export: membership of a job in the row's array of jobs, equal priority, category and grade, least opportunity."""
+    out = lead_filter(leads, category=category, priority=priority, grade=grade, floors=None if floor is None else {"sales_opportunity": floor})
+    return out if job is None else out.filter(F.array_contains("jobs", job))

@@ -151,3 +151,43 @@ def dom_signals(spark: SparkSession, d: str) -> DataFrame:
     """Signals of parsed pages (rows only: SQL has no parser)."""
     p = made_pages(spark, d).select((F.col("business_id") * 10 + F.col("seq")).alias("page_id"), "html")
     return dom.dom_signals(p)
+
+
+_REPORT = " UNION ALL ".join(f"SELECT site_id, '{nm}' AS name, round(({D.hash_score('url', salt, lo, hi)}) / {div}.0, 2)::DOUBLE AS value, {c}::DOUBLE AS confidence FROM u" for nm, salt, lo, hi, div, c in audit.REPORT)
+
+
+@query(f"WITH u AS (SELECT site_domain AS site_id, min(url) AS url FROM crawl_page WHERE site_domain IS NOT NULL GROUP BY 1) {_REPORT}")
+def performance_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Eight stand-in measurements of every captured site as metric rows."""
+    p = table(spark, d, "crawl_page").filter("site_domain is not null").groupBy(F.col("site_domain").alias("site_id")).agg(F.min("url").alias("url"))
+    return audit.performance_rows(p)
+
+
+@query("SELECT site_domain AS site_id, count(*) AS attempted, count(*) FILTER (status_code BETWEEN 200 AND 399) AS succeeded, round(count(*) FILTER (status_code BETWEEN 200 AND 399) / count(*)::DOUBLE, 6) AS coverage FROM (SELECT DISTINCT page_no, site_domain, status_code FROM crawl_page) GROUP BY 1")
+def crawl_coverage(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "crawl_page").select("page_no", F.col("site_domain").alias("site_id"), F.col("status_code").alias("status")).distinct()
+    return audit.crawl_coverage(p)
+
+
+_CLOCK = "2024-12-31 00:00:00"
+
+
+@query(f"SELECT site_domain AS site_id FROM crawl_page WHERE site_domain IS NOT NULL GROUP BY 1 HAVING coalesce((epoch_us(TIMESTAMP '{_CLOCK}') - epoch_us(max(fetched_at))) / 86400000000.0 > 30, true)")
+def due_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Sites whose technologies were last seen more than 30 days before a given clock."""
+    p = table(spark, d, "crawl_page").filter("site_domain is not null").select(F.col("site_domain").alias("site_id"), F.col("fetched_at").alias("at"))
+    return audit.due_sites(p.select("site_id").distinct(), p, F.lit(_CLOCK).cast("timestamp"), "technology")
+
+
+@query(
+    f"""{HOME}, {_MOB}, c AS (SELECT DISTINCT contact_no, contact_type, contact_value, extract_method, CASE WHEN NOT isnan(confidence) THEN confidence END AS confidence FROM extracted_contact)
+    SELECT contact_no::VARCHAR AS subject, lower(contact_type) AS field, contact_value AS value, extract_method AS method, confidence FROM c UNION ALL SELECT site_id::VARCHAR, 'finding', code, 'AUDIT', 0.9::DOUBLE FROM (
+      SELECT site_id, 'BAD_VIEWPORT' AS code FROM mobile WHERE viewport = 0 UNION ALL SELECT site_id, 'OVERFLOW_RISK' FROM mobile WHERE overflow = 1)"""
+)
+def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of extracted contacts and of one module's findings in one table."""
+    c = table(spark, d, "extracted_contact").select("contact_no", "contact_type", "contact_value", "extract_method", "confidence").distinct()
+    a = c.select(F.col("contact_no").cast("string").alias("subject"), F.lower("contact_type").alias("field"), F.col("contact_value").alias("value"), F.col("extract_method").alias("method"), F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"))
+    f = audit.findings("MOBILE_UX", audit.mobile(audit.home_pages(_pages(spark, d))))
+    b = f.select(F.col("site_id").cast("string").alias("subject"), F.lit("finding").alias("field"), F.col("code").alias("value"), F.lit("AUDIT").alias("method"), F.lit(0.9).alias("confidence"))
+    return audit.evidence(a, b)

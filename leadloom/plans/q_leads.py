@@ -164,3 +164,11 @@ def business_adapter(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
     j = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(o, "c_custkey", "left")
     return j.groupBy(F.col("n_name").alias("city"), F.col("c_mktsegment").alias("category")).agg(F.count("*").alias("businesses"), F.round(F.avg("c_acctbal"), 6).alias("mean_balance"), F.sum("orders").alias("orders"))
+
+
+@query(f"WITH {CUR}, q AS (SELECT lead_id, list(DISTINCT discovery_source) AS jobs FROM lead_row WHERE discovery_source IS NOT NULL GROUP BY 1) SELECT record_no, cur.lead_id, sales_opportunity FROM cur JOIN q ON q.lead_id = cur.lead_id WHERE list_contains(jobs, 'csv_import') AND run_priority = 'WARM' AND sales_opportunity >= 50")
+def export_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Warm leads of one discovery source (standing for a job) from an opportunity of 50, with only the allowed columns."""
+    jobs = table(spark, d, "lead_row").groupBy("lead_id").agg(F.collect_set("discovery_source").alias("jobs"))
+    rows = leads.export_filter(_current(spark, d).join(jobs, "lead_id"), job="csv_import", priority="WARM", floor=50)
+    return leads.allowed_columns(rows, ["record_no", "lead_id", "sales_opportunity"])
