@@ -110,7 +110,7 @@ def truth_discovery(claims: DataFrame, rounds: int = 6, tolerance: float = 0.02,
 
 def contact_truth(contacts: DataFrame, trust: DataFrame) -> DataFrame:
     """(group_no, field_name, value, support): the most supported value of each field of a duplicate group."""
-    rows = _prepared(contacts, trust)
+    rows = cut(_prepared(contacts, trust).drop("trust_rank").distinct())
     groups = rows.groupBy("lead_id", "contact_type", "key").agg(F.min("row_no").alias("group_no"), F.max("row_no").alias("last_no")).filter("group_no < last_no")
     held = rows.join(groups, ["lead_id", "contact_type", "key"])
     claims = held.select(
