@@ -25,7 +25,6 @@ WEIGHTS = {
     "other_building": -3.5, "other_city": -1.0, "web": 1.5, "other_web": -0.5,
 }
 NAME_ALIKE = 0.8
-WEAK_GROUP = 8
 SHARED_WEB_NAMES = 12
 
 _ACCENTS = ("àáâãäåāçćčèéêëēěìíîïīñńňòóôõöøōŕřśšùúûüůūýÿžźżđł", "aaaaaaaccceeeeeeiiiiinnnooooooorrssuuuuuuyyzzzdl")
@@ -104,9 +103,8 @@ def candidates(records: DataFrame) -> DataFrame:
     """(l, r): pairs of different providers that share a rare name token, in any spelling, and one more trait.
 
     Phone and building pairs are joined as they are. Pairs with only host or city in common need one side
-    without phone or without building (else they conflict in both and can't match), and are joined only where
-    at most WEAK_GROUP records of a provider compete: with more, one-to-one leaves none of them a probability
-    of a half, so leaving them out changes no reported match.
+    without phone or without building (else they conflict in both and can't match), so only such records are
+    joined with their whole block, however many share it: the share of open records bounds the work, not a cap.
     """
     r = records.select("record_no", "provider_id", "phone", "building", "web", "city", F.explode("keys").alias("v"))
 
@@ -117,14 +115,8 @@ def candidates(records: DataFrame) -> DataFrame:
 
     def weak(key: str) -> DataFrame:
         k = r.filter(F.col(key).isNotNull()).select("record_no", "provider_id", key, "v", (F.col("phone").isNull() | F.col("building").isNull()).alias("open"))
-        few = (
-            k.groupBy(key, "v", "provider_id").agg(F.count("*").alias("n"), F.max("open").alias("open"))
-            .groupBy(key, "v").agg(F.max("n").alias("n"), F.max("open").alias("open"), F.count("*").alias("p"))
-            .filter((F.col("n") <= WEAK_GROUP) & F.col("open") & (F.col("p") > 1)).select(key, "v")
-        )
-        k = k.join(few, [key, "v"])
-        a, b = k.toDF(key, "v", "l", "lp", "lo"), k.toDF(key, "v", "r", "rp", "ro")
-        return a.join(b, [key, "v"]).filter("l < r and lp <> rp and (lo or ro)").select("l", "r")
+        a, b = k.filter("open").drop("open").toDF("o", "op", key, "v"), k.drop("open").toDF("x", "xp", key, "v")
+        return a.join(b, [key, "v"]).filter("op <> xp").select(F.least("o", "x").alias("l"), F.greatest("o", "x").alias("r"))
 
     return strong("phone").unionByName(strong("building")).unionByName(weak("web")).unionByName(weak("city")).distinct()
 

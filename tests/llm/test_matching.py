@@ -61,6 +61,15 @@ def test_match_entities(spark):
     assert linkage.match_entities(df.limit(0), leads(spark)).count() == 0
 
 
+def test_match_in_a_crowded_block(spark):
+    town = (None, "North Quay", "Millford", "410107", "Land")
+    names = ["Ashby", "Brunel", "Cavell", "Darrow", "Elgin", "Fenwick", "Garrick", "Hollis", "Ibsen", "Jarrow", "Kelso", "Lomond"]
+    rows = [(10 + i, "p1", f"{n} Bakery", f"55500000{i:02}", None, (f"{20 + i} Teal Street", *town[1:])) for i, n in enumerate(names)]
+    rows += [(1, "p1", "Wolverton Bakery", "5551234567", None, town), (2, "p2", "Wolv Bakery", None, None, town), (3, "p3", "Zeller Florist", None, None, town)]
+    got = {(r["left_no"], r["right_no"]) for r in linkage.match_entities(spark.createDataFrame(rows, ENT), leads(spark)).collect()}
+    assert got == {(1, 2)}
+
+
 def test_beliefs_match_enumeration(spark):
     import itertools
     import math
