@@ -205,14 +205,20 @@ def match_entities(entities: DataFrame, leads: DataFrame, threshold: float = 0.5
     return direct.unionByName(closed).groupBy("left_no", "right_no").agg(F.round(F.max("confidence"), 6).alias("confidence"))
 
 
-def _closed_groups(pairs: DataFrame, rounds: int = 3) -> DataFrame:
-    """(node, group_id): smallest node within as many steps; enough for groups of one record a provider, four providers.
+def _closed_groups(pairs: DataFrame) -> DataFrame:
+    """(node, group_id): the smallest node of the whole connected group, however long its chains.
 
-    A larger group would hold two records of one provider, whose closure isn't used anyway.
+    Labels pass to neighbours and to the bearers of one's own label's label until a round changes none.
     """
     arcs = pairs.select(F.explode(F.array(F.struct(F.col("l").alias("u"), F.col("r").alias("v")), F.struct(F.col("r").alias("u"), F.col("l").alias("v")))).alias("x")).select("x.u", "x.v")
     state = cut(arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("g")))
-    for _ in range(rounds - 1):
+    moved = not state.isEmpty()
+    while moved:
         reached = arcs.join(state.toDF("v", "g"), "v").select("u", "g")
-        state = cut(reached.unionByName(state).groupBy("u").agg(F.min("g").alias("g")))
+        jumped = state.join(state.toDF("g", "gg"), "g").select("u", F.col("gg").alias("g"))
+        was = state.select("u", "g", F.col("g").alias("was"))
+        both = reached.unionByName(jumped).withColumn("was", F.lit(None).cast(state.schema["g"].dataType)).unionByName(was)
+        step = cut(both.groupBy("u").agg(F.min("g").alias("g"), F.min("was").alias("was")))
+        moved = not step.filter("g < was").isEmpty()
+        state = step.select("u", "g")
     return state.toDF("node", "group_id")

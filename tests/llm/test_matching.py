@@ -70,6 +70,18 @@ def test_match_in_a_crowded_block(spark):
     assert got == {(1, 2)}
 
 
+def test_closure_takes_whole_groups(spark, monkeypatch):
+    def matched(providers):
+        rows = [(i, i + 1, providers[i - 1], providers[i], 0.9) for i in range(1, len(providers))]
+        marginals = spark.createDataFrame(rows, "l int, r int, lp string, rp string, probability double")
+        for f, x in (("prepared", marginals), ("candidates", None), ("scored", None), ("believe", marginals)):
+            monkeypatch.setattr(linkage, f, lambda *_, x=x: x)
+        return {(r["left_no"], r["right_no"]) for r in linkage.match_entities(None, None).collect()}
+
+    assert matched("ABCDA") == {(1, 2), (2, 3), (3, 4), (4, 5)}  # two records of A: direct pairs only
+    assert matched("ABCDEFGHIJ") == {(i, j) for i in range(1, 11) for j in range(i + 1, 11)}
+
+
 def test_beliefs_match_enumeration(spark):
     import itertools
     import math
