@@ -155,20 +155,19 @@ def scored(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return j.select("l", "r", "lp", "rp", theta.alias("theta"))
 
 
-def believe(pairs: DataFrame, rounds: int = 8, tolerance: float = 0.01) -> DataFrame:
+def believe(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-3) -> DataFrame:
     """(l, r, lp, rp, probability): marginals of pairs (l, r, lp, rp, theta) under one-to-one factors.
 
     A record takes part in one factor for each other provider: at most one of its pairs there is true. The
     factor's message to a pair is -log(1 + sum of the odds of its other pairs). Pairs without a rival need no
-    message and stay out of the loop; an empty table gives an empty result.
+    message and stay out of the loop; an empty table gives an empty result. The loop runs until no message moves
+    by tolerance; rounds only guards against an endless one, and reaching it is an error.
     """
     left, right = Window.partitionBy("l", "rp"), Window.partitionBy("r", "lp")
     all_ = cut(pairs.withColumn("rivals", F.count("*").over(left) + F.count("*").over(right) - 2))
     state = cut(all_.filter("rivals > 0").select("l", "r", "lp", "rp", "theta", F.lit(0.0).alias("ml"), F.lit(0.0).alias("mr")))
     odds = lambda m: F.exp(F.least(F.col("theta") + F.col(m), F.lit(40.0)))
-    for _ in range(rounds):
-        if state.isEmpty():
-            break
+    for _ in range(0 if state.isEmpty() else rounds):
         s = state.withColumn("ol", odds("mr")).withColumn("or", odds("ml"))
         s = s.withColumn("nl", -F.log1p(F.greatest(F.sum("ol").over(left) - F.col("ol"), F.lit(0.0)))).withColumn("nr", -F.log1p(F.greatest(F.sum("or").over(right) - F.col("or"), F.lit(0.0))))
         damped = lambda new, old: 0.7 * F.col(new) + 0.3 * F.col(old)
@@ -177,8 +176,11 @@ def believe(pairs: DataFrame, rounds: int = 8, tolerance: float = 0.01) -> DataF
         s = cut(s)
         moved = s.agg(F.max("d")).first()[0]
         state = s.drop("d")
-        if moved is not None and moved < tolerance:
+        if moved < tolerance:
             break
+    else:
+        if not state.isEmpty():
+            raise RuntimeError(f"beliefs haven't settled within {rounds} rounds: a message still moves by {moved}")
     marginal = lambda x: 1 / (1 + F.exp(-x))
     alone = all_.filter("rivals = 0").select("l", "r", "lp", "rp", marginal(F.col("theta")).alias("probability"))
     return alone.unionByName(state.select("l", "r", "lp", "rp", marginal(F.col("theta") + F.col("ml") + F.col("mr")).alias("probability")))

@@ -99,3 +99,21 @@ def test_beliefs_match_enumeration(spark):
                 m[i] += w * bits[i]
     for i, (l, r, _) in enumerate(pairs):
         assert abs(got[l, r] - m[i] / z) < 1e-4
+
+
+def test_beliefs_settle_on_long_rival_chains(spark):
+    import math
+
+    import pytest
+
+    n, theta = 9, 4.0
+    rows = [((i + 1) // 2, 100 + i // 2, "a", "b", theta) for i in range(n)]  # each record contends with the next
+    df = spark.createDataFrame(rows, "l int, r int, lp string, rp string, theta double")
+    got = {(r["l"], r["r"]): r["probability"] for r in linkage.believe(df).collect()}
+    z = [1.0, 1.0]
+    for _ in range(n):
+        z.append(z[-1] + math.exp(theta) * z[-2])
+    for i, (l, r, *_) in enumerate(rows):
+        assert abs(got[l, r] - math.exp(theta) * z[i] * z[n - 1 - i] / z[n + 1]) < 0.005
+    with pytest.raises(RuntimeError):
+        linkage.believe(df, rounds=2)
