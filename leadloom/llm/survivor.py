@@ -73,12 +73,13 @@ def field_survivors(contacts: DataFrame, trust: DataFrame) -> DataFrame:
     ).select("group_no", "x.field_name", "x.from_no").filter("from_no is not null")
 
 
-def truth_discovery(claims: DataFrame, rounds: int = 6, tolerance: float = 0.02, prior: float = 4.0) -> tuple[DataFrame, DataFrame]:
+def truth_discovery(claims: DataFrame, rounds: int = 200, tolerance: float = 1e-3, prior: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """Iterative truth discovery over claims (item, field, value, source).
 
     Alternately: a value's support is the sum of its sources' weights, an item's field takes the value with
     most support (ties: smallest value), and a source's weight is the log-odds of its smoothed share of
-    claims that agree with the taken values. Ends when no weight moves by more than tolerance. Returns
+    claims that agree with the taken values. Ends when no weight moves by more than tolerance; rounds only
+    guards against an endless loop, and reaching it is an error. Returns
     (item, field, value, support) and (source, weight). Claims with a null in any part are ignored; a source
     that repeats a claim counts once. Fields on which all sources agree are settled before the loop: they
     only add to their sources' agreements. A hot item is reduced to its values before its winner is chosen.
@@ -104,6 +105,8 @@ def truth_discovery(claims: DataFrame, rounds: int = 6, tolerance: float = 0.02,
         weights = new.drop("old")
         if moved is None or moved <= tolerance:
             break
+    else:
+        raise RuntimeError(f"source weights haven't settled within {rounds} rounds: one still moves by {moved}")
     agreed = votes.filter("not open").join(small(weights.select("source", "weight")), "source").groupBy("item", "field", "value").agg(F.sum("weight").alias("support"))
     return winners(weights).unionByName(agreed), weights.select("source", "weight")
 

@@ -115,3 +115,13 @@ def test_truth_discovery_trusts_the_reliable(spark):
     w = {r["source"]: r["weight"] for r in weights.collect()}
     assert right >= 70 and w["good"] > w["bad1"] and w["good"] > w["bad2"]
     assert survivor.truth_discovery(df.limit(0))[0].count() == 0
+
+
+def test_truth_discovery_runs_until_it_settles(spark):
+    import pytest
+
+    claims = [(i, "f", f"v{i}" if (i + k) % (k + 2) else f"w{i}", f"s{k}") for i in range(40) for k in range(5)]
+    df = spark.createDataFrame(claims, "item int, field string, value string, source string")
+    with pytest.raises(RuntimeError):
+        survivor.truth_discovery(df, rounds=1)
+    assert survivor.truth_discovery(df)[0].count() == 40
