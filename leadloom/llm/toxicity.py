@@ -28,7 +28,7 @@ from .pii import INVISIBLE, LOOKALIKE
 
 #: The classifier is fitted on at most this many labelled documents, those first in the order of a hash.
 MAX_LABELLED = 20_000
-LEVEL, FOLDS, DICT_BYTES = 19, 4, 2_000_000
+LEVEL, FOLDS = 19, 4
 LONGEST, PIECE = 18, 14
 # Plain abusive sentences that start the toxic dictionary where few labels exist.
 SEED = """
@@ -81,12 +81,13 @@ def windows(text: str) -> list[str]:
 
 
 class Dictionary:
-    """A compressor whose dictionary is the given windows; the later ones are the cheaper to refer to."""
+    """A compressor whose dictionary is all the given windows; the later ones are the cheaper to refer to."""
 
     def __init__(self, texts: list[str]):
-        raw = "\n".join(texts).encode()[-DICT_BYTES:] or b"\n"
+        raw = "\n".join(texts).encode() or b"\n"
+        reach = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(raw)).window_log
         params = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, dict_size=len(raw), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3
+            LEVEL, dict_size=len(raw), window_log=max(reach, (len(raw) + 65_536).bit_length()), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3
         )
         data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self._zip = zstandard.ZstdCompressor(dict_data=data, compression_params=params)
@@ -274,7 +275,7 @@ _scorers: dict[int, Scorer] = {}
 def score_documents(documents: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, source, score, harmful) for every document; repeated rows count once.
 
-    A null or blank text scores -1. The model, two texts of at most DICT_BYTES, goes out as one broadcast
+    A null or blank text scores -1. The model, windows of at most MAX_LABELLED documents, goes out as one broadcast
     variable; each Python worker builds its compressors once.
     """
     if model is None:

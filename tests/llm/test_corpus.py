@@ -126,3 +126,11 @@ def test_scores_and_rates(spark):
     assert scored.count() == 121 and scored.filter("doc_id = 500").first()["score"] == -1.0
     assert {r["source"]: r["documents"] for r in toxicity.rates(scored).collect()} == {"s": 61, None: 60}
     assert toxicity.score_documents(df.limit(0), labels.limit(0)).count() == 0
+
+
+def test_dictionary_keeps_every_window():
+    first = "the quaint brass kettle whistled over seven violet hills"
+    rng = random.Random(1)
+    many = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)) for _ in range(100_000)]
+    d = toxicity.Dictionary([first, *many])
+    assert d.size(first) < 20 and d.size("a " + first[::-1]) > 30
