@@ -142,10 +142,7 @@ def robots_rules(spark: SparkSession, d: str) -> DataFrame:
 def sitemap_locations(spark: SparkSession, d: str) -> DataFrame:
     """Locations read back from one composed sitemap a site; a site's first 20 are what a crawl takes from one."""
     p = table(spark, d, "crawl_page").select("page_no", "site_domain", "url").distinct().filter("site_domain is not null")
-    from pyspark.sql import Window
-
-    first = p.withColumn("k", F.row_number().over(Window.partitionBy("site_domain").orderBy("page_no"))).filter("k <= 25")
-    body = first.groupBy(F.col("site_domain").alias("id")).agg(F.sort_array(F.collect_list(F.struct("page_no", "url"))).alias("u"))
+    body = p.groupBy(F.col("site_domain").alias("id")).agg(F.sort_array(F.collect_list(F.struct("page_no", "url"))).alias("u"))
     body = body.select("id", F.array_join(F.transform("u", lambda x: F.concat(F.lit("<url><loc> "), x["url"], F.lit(" </loc></url>"))), "\n").alias("body"))
     return pages.sitemap_locations(body)
 

@@ -47,3 +47,13 @@ def test_nothing_needs_the_optional_part():
     code = "import sys, importlib.abc\nclass No(importlib.abc.MetaPathFinder):\n  def find_spec(self, n, p, t=None):\n    if n.startswith('leadloom.llm'): raise ImportError(n)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert len(e.queries()) > 50 and not any(k.startswith('p1_') for k in e.queries())"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_sitemaps_are_composed_whole(spark, tmp_path, monkeypatch):
+    from leadloom.plans import q_sources
+
+    rows = [(i, "s.example", f"https://s.example/{i}") for i in range(60)]
+    spark.createDataFrame(rows, "page_no bigint, site_domain string, url string").write.parquet(f"{tmp_path}/crawl_page.parquet")
+    assert [r["loc"] for r in q_sources.sitemap_locations(spark, str(tmp_path)).orderBy("place").collect()] == [u for _, _, u in rows[:20]]
+    monkeypatch.setattr(q_sources.pages, "sitemap_locations", lambda bodies: bodies)
+    assert q_sources.sitemap_locations(spark, str(tmp_path)).first()["body"].count("<loc>") == 60
