@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,7 @@ def session(app: str = "leadloom", cores: str = "*", **conf: str) -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -44,25 +49,55 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="leadloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return named
 
 
+_planning = threading.Lock()
+_tables: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage; survives lost executors.
+    """Materialise df in the shared folder and cut its lineage; survives lost executors. Keeps its partitioning.
 
     A checkpoint also carries the plan's constraints along; over many rounds these grow until planning takes
-    longer than running, so their propagation is off while the checkpoint is made.
+    longer than running, so their propagation is off while the checkpoint is made. That setting belongs to the
+    session, so threads that share one session take turns.
     """
     spark = df.sparkSession
     shared_dir(spark)
     key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
+    with _planning:
+        before = spark.conf.get(key, "true")
+        spark.conf.set(key, "false")
+        try:
+            return df.checkpoint(eager=True)
+        finally:
+            spark.conf.set(key, before)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Like cut, but as a compressed columnar table: for wide or long rows of which later steps read some columns.
+
+    The result isn't partitioned as df was. release() deletes the tables when no result needs them any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _tables.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what saved() wrote for this session; call it once the results are taken. Returns the number of tables."""
+    mine = [p for s, p in _tables if s is spark]
+    jvm = spark.sparkContext._jvm
+    for p in mine:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _tables[:] = [(s, p) for s, p in _tables if s is not spark]
+    return len(mine)
 
 
 def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
