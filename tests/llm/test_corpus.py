@@ -1,5 +1,6 @@
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,10 +108,32 @@ def toy(n, seed):
 
 def test_toxicity_on_held_out_documents():
     train, test = toy(300, 1), toy(200, 2)
-    s = toxicity.Scorer(m := toxicity.fit([(y, toxicity.windows(t)) for y, t in train]))
-    hit = [(s.document(t) >= m.threshold, y) for y, t in test]
-    assert sum(a == b for a, b in hit) / len(hit) > 0.95
-    assert s.document(None) == s.document("  ") == -1.0
+    docs = [(y, toxicity.windows(t)) for y, t in train]
+    held = [x for k in range(toxicity.FOLDS) for x in toxicity.held_out(docs, None, 16_384, k)]
+    assert len(held) == len(docs)
+    s = toxicity.Scorer(toxicity.train(docs))
+    scores = [(s.document(toxicity.windows(t)), y) for y, t in test]
+    limit = toxicity.threshold(held, Counter(v for v, _ in scores))
+    assert sum((v >= limit) == y for v, y in scores) / len(scores) > 0.95
+    assert s.document([]) == -1.0
+    assert toxicity.threshold([], {}) == 2.0
+
+
+def test_wrong_verdicts_do_not_blind_the_dictionaries():
+    """A tenth of the verdicts is wrong, in either direction."""
+    rng = random.Random(3)
+    train, test = toy(600, 1), toy(200, 2)
+    docs = [(y ^ (rng.random() < 0.1), toxicity.windows(t)) for y, t in train]
+    s = toxicity.Scorer(toxicity.train(docs))
+    scores = sorted(((s.document(toxicity.windows(t)), y) for y, t in test), reverse=True)
+    assert toxicity.best_f1(scores) > 0.9
+
+
+def test_common_windows_of_harmful_documents_are_acquitted():
+    corpus = toxicity.Corpus(100_000, {"story time every monday": 300, "rare and vile": 15, "once": 1})
+    bad = Counter({"story time every monday": 2, "rare and vile": 5, "once": 1})
+    assert toxicity.chance("story time every monday", bad, 800, corpus)
+    assert not toxicity.chance("rare and vile", bad, 800, corpus) and not toxicity.chance("once", bad, 800, corpus)
 
 
 def test_windows_undo_disguises():
@@ -128,9 +151,10 @@ def test_scores_and_rates(spark):
     assert toxicity.score_documents(df.limit(0), labels.limit(0)).count() == 0
 
 
-def test_dictionary_keeps_every_window():
-    first = "the quaint brass kettle whistled over seven violet hills"
-    rng = random.Random(1)
-    many = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)) for _ in range(100_000)]
-    d = toxicity.Dictionary([first, *many])
-    assert d.size(first) < 20 and d.size("a " + first[::-1]) > 30
+def test_fitting_sample_is_bounded_in_documents_and_windows(spark):
+    docs = spark.createDataFrame([(i, "s", [f"w{i} {k}" for k in range(4)]) for i in range(40)] + [(99, "s", ["x"] * 50)], "doc_id bigint, source string, ws array<string>")
+    labels = spark.createDataFrame([(i, "r", "fine") for i in range(40)] + [(99, "r", "harmful")], "doc_id bigint, reviewer string, verdict string")
+    assert len(toxicity.labelled(docs, labels)) == 41
+    assert len(toxicity.labelled(docs, labels, most=10)) <= 10
+    few = toxicity.labelled(docs, labels, most_windows=100)
+    assert sum(len(ws) for _, ws in few) <= 100 and all(not y for y, _ in few)
