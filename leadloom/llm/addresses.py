@@ -1,15 +1,17 @@
 """Problem 3: address records of one building, written differently.
 
 Method: every address is read into components (postal.py: optimal assignment of its words to unit, number,
-street, locality, city and postcode, across the record's fields); the distinct street tokens of a city are
-indexed by their deletion neighbourhood and merged inside postcode and neighbouring-locality blocks; records
-are the same building where street and locality agree after that and neither number nor number letter vetoes.
-The statement for this data says that units don't matter, so the unit veto of the method is not applied.
+street, street kind, locality, city and postcode, across the record's fields); the distinct street tokens of a
+city are indexed by their deletion neighbourhood and merged inside blocks of one postcode or of localities that
+are the same or share a postcode; records are the same building where street, kind and locality agree after that
+and neither number nor number letter vetoes. A street kind that one side lacks is taken from the street. The
+unit veto is a parameter; the statement for this data says that units don't matter, so it is off by default.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,62 +19,104 @@ from pyspark.sql import functions as F
 
 from leadloom.session import cut, spread
 
-from .postal import Gazetteer, fold, near, read
+from .postal import Gazetteer, fold, phrases, read
 
-GAZETTEER_ROWS = 200_000  # bound of the place list that is sent to the executors; beyond it reading is refused
+GAZETTEER_ROWS = 200_000  # up to so many places the list is broadcast whole; beyond, each bucket of addresses gets its own part
+BUCKET_ROWS = 50_000
 WELL_ATTESTED, RATIO = 5, 4  # two spellings are different streets if both are this frequent and near in count
+PLACES = "kind string, name string, city string, locality string"
 
 
-def gazetteer(leads: DataFrame) -> Gazetteer:
-    """Places as the lead table names them: cities, localities, regions, and the place of each postcode.
+def places(leads: DataFrame) -> DataFrame:
+    """(kind, name, city, locality): cities, localities and regions as the lead table names them, and each postcode's place.
 
-    The lists are small by nature (one row a place) and checked: more than GAZETTEER_ROWS places raise an error.
-    A city spelling one edit from another that is 20 times as frequent counts as a misspelling.
+    A city or locality spelling one edit from another that is 20 times as frequent counts as a misspelling; the
+    spellings meet through their deletion neighbourhoods.
     """
-    def bounded(df: DataFrame) -> list:
-        rows = df.limit(GAZETTEER_ROWS + 1).collect()
-        if len(rows) > GAZETTEER_ROWS:
-            raise ValueError("more places than the gazetteer's bound")
-        return rows
-
-    def names(c: str) -> list[tuple[str, int]]:
-        return [(r[0], r[1]) for r in bounded(leads.filter(F.trim(F.col(c)) != "").groupBy(c).count())]
-
-    def clean(pairs: list[tuple[str, int]]) -> list[str]:
-        by: dict[int, list[tuple[str, int]]] = {}
-        for p in pairs:
-            by.setdefault(len(p[0]), []).append(p)
-        return [
-            a for a, n in pairs
-            if not any(m >= 20 * n and near(fold(a), fold(b)) for k in (-1, 0, 1) for b, m in by.get(len(a) + k, []) if a != b)
-        ]
-
+    none = F.lit(None).cast("string")
+    cols = (("city", "city"), ("locality", "locality"), ("region", "state"), ("region", "country"))
+    names = reduce(DataFrame.unionByName, [leads.select(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in cols])
+    names = cut(names.filter(F.trim("name") != "").groupBy("kind", "name").agg(F.count("*").alias("n")))
+    v = names.filter("kind <> 'region'").select("kind", "name", "n", F.explode(deletions(folded(F.col("name")))).alias("v"))
+    wrong = (
+        v.alias("a").join(v.alias("b"), ["kind", "v"]).filter("a.name <> b.name and b.n >= 20 * a.n").filter(one_edit(folded(F.col("a.name")), folded(F.col("b.name"))))
+        .select("kind", F.col("a.name").alias("name")).distinct()
+    )
     posts = leads.filter("postal_code is not null and city is not null and locality is not null").groupBy("postal_code", "city", "locality").count()
     best = posts.groupBy("postal_code").agg(F.max(F.struct("count", "city", "locality")).alias("b"))
-    by_post = {"".join(ch for ch in r[0] if ch.isdigit()): (fold(r["b"]["city"]), fold(r["b"]["locality"])) for r in bounded(best)}
-    regions = [n for c in ("state", "country") for n, _ in names(c)]
-    return Gazetteer(clean(names("city")), clean(names("locality")), regions, by_post)
+    code = F.regexp_replace("postal_code", "[^0-9]", "")
+    return names.join(wrong, ["kind", "name"], "left_anti").select("kind", "name", none.alias("city"), none.alias("locality")).unionByName(
+        best.select(F.lit("post").alias("kind"), code.alias("name"), "b.city", "b.locality")
+    )
+
+
+def _gazetteer(rows: Iterable[tuple[str, str, str | None, str | None]]) -> Gazetteer:
+    rows = sorted(rows, key=repr)
+    named = lambda k: [r[1] for r in rows if r[0] == k]
+    return Gazetteer(named("city"), named("locality"), named("region"), {r[1]: (fold(r[2]), fold(r[3])) for r in rows if r[0] == "post"})
+
+
+READ = "number string, street string, kind string, locality string, city string, post string, unit string"
 
 
-READ = "number string, street string, kind string, locality string, city string, post string"
+def _parts(b: pd.DataFrame, g: Gazetteer) -> pd.DataFrame:
+    out = pd.DataFrame([read(*x) for x in zip(b.text, [g] * len(b), b.city_hint, b.locality_hint, b.post_hint)], columns=["number", "street", "kind", "locality", "city", "post", "unit"])
+    out.insert(0, "id", b.id.to_numpy())
+    return out
 
 
-def read_addresses(rows: DataFrame, gaz: Gazetteer) -> DataFrame:
+def read_addresses(rows: DataFrame, known: DataFrame, broadcast_rows: int = GAZETTEER_ROWS) -> DataFrame:
     """Adds the components to rows (id, text, city_hint, locality_hint, post_hint) and drops the rest.
 
-    The place list goes to the executors as one broadcast variable of bounded size.
+    known: places. A list of at most broadcast_rows goes out as one broadcast variable. A longer one is split: the
+    addresses fall into buckets of about BUCKET_ROWS, and each bucket gets the places that are written like one
+    of its phrases, found through deletion neighbourhoods; the components come out the same.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(gaz)
+    rows = rows.select("id", "text", "city_hint", "locality_hint", "post_hint")
+    if known.limit(broadcast_rows + 1).count() > broadcast_rows:
+        return _read_in_buckets(rows, known)
+    shared = rows.sparkSession.sparkContext.broadcast(_gazetteer([tuple(r) for r in known.collect()]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
         for b in batches:
-            parts = [read(*x) for x in zip(b.text, [g] * len(b), b.city_hint, b.locality_hint, b.post_hint)]
-            out = pd.DataFrame(parts, columns=["number", "street", "kind", "locality", "city", "post"])
-            out.insert(0, "id", b.id.to_numpy())
-            yield out
+            yield _parts(b, shared.value)
+
+    return spread(rows).mapInPandas(run, f"id bigint, {READ}")
+
+
+def _read_in_buckets(rows: DataFrame, known: DataFrame) -> DataFrame:
+    n = max(1, -(-rows.count() // BUCKET_ROWS))
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+
+    def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen = set()
+            for x in zip(b.bucket, b.text, b.city_hint, b.locality_hint, b.post_hint):
+                seen.update((x[0], p) for t in x[1:] if t for p in phrases(t))
+            yield pd.DataFrame(list(seen), columns=["bucket", "v"])
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(k, nm, c, l, f) for k, nm, c, l in zip(b.kind, b.name, b.city, b.locality) for f in ([nm] if k == "post" else Gazetteer([], [nm], [], {}).locality_forms if k == "locality" else [fold(nm)])]
+            yield pd.DataFrame(out, columns=["kind", "name", "city", "locality", "form"])
+
+    keys = placed.mapInPandas(spoken, "bucket bigint, v string").distinct().select("bucket", F.explode(deletions(F.col("v"))).alias("v"))
+    forms = known.mapInPandas(written, f"{PLACES}, form string").select("kind", "name", "city", "locality", F.explode(deletions(F.col("form"))).alias("v"))
+    local = forms.join(keys, "v").select("bucket", "kind", "name", "city", "locality").distinct()
 
-    return spread(rows.select("id", "text", "city_hint", "locality_hint", "post_hint")).mapInPandas(run, f"id bigint, {READ}")
+    def run(key: tuple, b: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        part = _gazetteer([tuple(None if pd.isna(x) else x for x in r) for r in zip(g.kind, g.name, g.city, g.locality)])
+        return _parts(b, part)
+
+    return placed.groupBy("bucket").cogroup(local.groupBy("bucket")).applyInPandas(run, f"id bigint, {READ}")
+
+
+_ACCENTS = ("àáâãäåāçćčèéêëēěìíîïīñńňòóôõöøōŕřśšùúûüůūýÿžźżđł", "aaaaaaaccceeeeeeiiiiinnnooooooorrssuuuuuuyyzzzdl")
+
+
+def folded(c: Column) -> Column:
+    """Lower case, Latin accents folded; stays in the JVM."""
+    return F.replace(F.translate(F.lower(c), *_ACCENTS), F.lit("ß"), F.lit("ss"))
 
 
 def deletions(c: Column) -> Column:
@@ -90,48 +134,62 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def street_roots(streets: DataFrame) -> DataFrame:
-    """(city, street, root, place): the leading spelling of each street spelling of a city.
-
-    streets: (city, street, locality, n), one row a spelling and locality. Spellings are compared only where
-    their deletion neighbourhoods meet and their localities agree or one is unknown. Each follows its most
-    frequent neighbour (ties: smaller spelling), twice, so a misspelt misspelling ends at the same root. Two
-    well attested spellings of like frequency stay apart. place is the street's most frequent locality.
+    """(city, street, root, place, kind): the leading spelling of each street spelling of a city.
+
+    streets: (city, street, kind, locality, post, n), one row a spelling, kind and block. Spellings are compared only
+    where their deletion neighbourhoods meet and they have a block in common or one has none; blocks are their
+    localities, their postcodes and the postcodes of their localities, so localities that share one are neighbours.
+    Spellings without a kind in common stay apart. Each follows its most frequent neighbour (ties: smaller spelling)
+    up to the top. Two well attested spellings of like frequency stay apart. place is the street's locality if it
+    lies in one only, kind its most frequent kind.
     """
-    s = streets.filter("city is not null and street is not null and length(street) > 2").groupBy("city", "street").agg(
-        F.sum("n").alias("n"), F.min("locality").alias("lo"), F.max("locality").alias("hi")
-    )
-    v = s.select("city", "street", "n", "lo", "hi", F.explode(deletions(F.col("street"))).alias("v"))
-    a, b = v.alias("a"), v.alias("b")
-    same_place = F.col("a.lo").isNull() | F.col("b.lo").isNull() | ((F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi")))
-    apart = (F.least("a.n", "b.n") >= WELL_ATTESTED) & (F.least("a.n", "b.n") * RATIO > F.greatest("a.n", "b.n"))
-    lead = (
-        a.join(b, (F.col("a.city") == F.col("b.city")) & (F.col("a.v") == F.col("b.v")))
-        .filter(same_place & ((F.col("a.street") == F.col("b.street")) | (~apart & one_edit(F.col("a.street"), F.col("b.street")))))
-        .groupBy(F.col("a.city").alias("city"), F.col("a.street").alias("street"))
-        .agg(F.min(F.struct((-F.col("b.n")).alias("m"), F.col("b.street").alias("s"))).alias("p"))
-        .select("city", "street", F.col("p.s").alias("up"))
-    )
-    top = lead.select("city", F.col("street").alias("up"), F.col("up").alias("root"))
-    roots = lead.join(top, ["city", "up"]).select("city", "street", "root")
-    places = (
-        streets.filter("locality is not null").join(roots, ["city", "street"]).groupBy("city", "root", "locality").agg(F.sum("n").alias("n"))
-        .groupBy("city", "root").agg(F.max(F.struct("n", "locality"))["locality"].alias("place"), F.count("*").alias("places"))
+    known = streets.filter("city is not null and street is not null and length(street) > 2")
+    posts = streets.filter("city is not null and locality is not null and post is not null").groupBy("city", "locality").agg(F.collect_set(F.concat(F.lit("p:"), "post")).alias("near"))
+    blocks = (
+        known.join(posts, ["city", "locality"], "left")
+        .select("city", "street", F.explode(F.concat(F.array(F.concat(F.lit("l:"), "locality"), F.concat(F.lit("p:"), "post")), F.coalesce("near", F.array().cast("array<string>")))).alias("b"))
+        .filter("b is not null").groupBy("city", "street").agg(F.collect_set("b").alias("blocks"))
     )
-    return roots.join(places, ["city", "root"], "left").select("city", "street", "root", F.when(F.col("places") == 1, F.col("place")).alias("place"))
+    none = F.array().cast("array<string>")
+    s = known.groupBy("city", "street").agg(F.sum("n").alias("n"), F.collect_set("kind").alias("kinds")).join(blocks, ["city", "street"], "left").withColumn("blocks", F.coalesce("blocks", none))
+    s = cut(s)
+    a, b = [s.select("city", "street", F.explode(deletions(F.col("street"))).alias("v")).toDF("city", x, "v") for x in ("x", "y")]
+    met = a.join(b, ["city", "v"]).filter("x <> y").filter(one_edit(F.col("x"), F.col("y"))).select("city", "x", "y").distinct()
+    p, q = s.toDF("city", "x", "xn", "xk", "xb"), s.toDF("city", "y", "yn", "yk", "yb")
+    common = lambda l, r: (F.size(l) == 0) | (F.size(r) == 0) | F.arrays_overlap(l, r)
+    apart = (F.least("xn", "yn") >= WELL_ATTESTED) & (F.least("xn", "yn") * RATIO > F.greatest("xn", "yn"))
+    near_ = met.join(p, ["city", "x"]).join(q, ["city", "y"]).filter(common("xb", "yb") & common("xk", "yk") & ~apart)
+    ahead = F.struct((-F.col("n")).alias("m"), F.col("street").alias("s"))
+    up = near_.groupBy("city", F.col("x").alias("street")).agg(F.min(F.struct((-F.col("yn")).alias("m"), F.col("y").alias("s"))).alias("up"))
+    lead = cut(s.join(up, ["city", "street"], "left").select("city", "street", F.when(F.col("up") < ahead, F.col("up.s")).otherwise(F.col("street")).alias("root")))
+    moved = True
+    while moved:  # every step leads to a spelling further ahead, so this ends; each round doubles the steps taken
+        top = lead.toDF("city", "root", "up")
+        step = cut(lead.join(top, ["city", "root"]).select("city", "street", "root", "up"))
+        moved = not step.filter("root <> up").isEmpty()
+        lead = step.select("city", "street", F.col("up").alias("root"))
+    of_root = known.join(lead, ["city", "street"])
+    where = of_root.filter("locality is not null").groupBy("city", "root").agg(F.min("locality").alias("lo"), F.max("locality").alias("hi"))
+    kinds = of_root.filter("kind is not null").groupBy("city", "root", "kind").agg(F.sum("n").alias("n")).groupBy("city", "root").agg(F.min(F.struct((-F.col("n")).alias("m"), "kind"))["kind"].alias("kind"))
+    return lead.join(where, ["city", "root"], "left").join(kinds, ["city", "root"], "left").select("city", "street", "root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("place"), "kind")
+
+
+KEY = ["city", "place", "root", "kind", "number"]
 
 
 def buildings(parts: DataFrame) -> DataFrame:
-    """(id, city, place, root, number) for every address with street and number whose city is known.
+    """(id, city, place, root, kind, number, unit) for every address with street and number whose city is known.
 
     A missing city is taken from the street if only one city has that street (in the same locality, where
-    known); a missing locality from the street if it lies in one locality only. Addresses without street or
-    number, and those whose city stays unknown, give no row. Repeated ids with equal parts give one row.
+    known); a missing locality from the street if it lies in one locality only; a missing street kind from the street's
+    most frequent one. Addresses without street or number, and those whose city stays unknown, give no row. Repeated
+    ids with equal parts give one row.
     """
-    a = parts.filter("street is not null and number is not null").select("id", "number", "street", "locality", "city").distinct()
-    counts = cut(a.groupBy("city", "street", "locality").agg(F.count("*").alias("n")))
+    a = parts.filter("street is not null and number is not null").select("id", "number", "street", "kind", "locality", "city", "post", "unit").distinct()
+    counts = cut(a.groupBy("city", "street", "kind", "locality", "post").agg(F.count("*").alias("n")))
     roots = cut(street_roots(counts))
     # streets without a city: the one city that has the street, by exact or nearest spelling
-    lost = counts.filter("city is null").select("street", "locality")
+    lost = counts.filter("city is null").select("street", "locality").distinct()
     known = roots.select("city", "root", "place").distinct()
     lv = lost.select("street", "locality", F.explode(deletions(F.col("street"))).alias("v"))
     kv = known.select("city", "root", "place", F.explode(deletions(F.col("root"))).alias("v"))
@@ -144,11 +202,13 @@ def buildings(parts: DataFrame) -> DataFrame:
         )
         .filter("lo.city = hi.city and lo.root = hi.root")
         .select(F.col("street").alias("s"), F.col("locality").alias("l"), "lo.city", "lo.root", "lo.place")
+        .join(roots.select("city", "root", F.col("kind").alias("usual")).distinct(), ["city", "root"])
     )
-    named = a.filter("city is not null").join(roots, ["city", "street"])
-    guessed = a.filter("city is null").drop("city").join(hits, (F.col("street") == F.col("s")) & F.col("locality").eqNullSafe(F.col("l"))).drop("s", "l")
-    every = named.select("id", "city", "locality", "place", "root", "number").unionByName(guessed.select("id", "city", "locality", "place", "root", "number"))
-    return every.select("id", "city", F.coalesce("locality", "place", F.lit("")).alias("place"), "root", "number").distinct()
+    cols = ["id", "city", "locality", "place", "root", "kind", "usual", "number", "unit"]
+    named = a.filter("city is not null").join(roots.withColumnRenamed("kind", "usual"), ["city", "street"]).select(cols)
+    guessed = a.filter("city is null").drop("city").join(hits, (F.col("street") == F.col("s")) & F.col("locality").eqNullSafe(F.col("l"))).select(cols)
+    every = named.unionByName(guessed)
+    return every.select("id", "city", F.coalesce("locality", "place", F.lit("")).alias("place"), "root", F.coalesce("kind", "usual", F.lit("")).alias("kind"), "number", "unit").distinct()
 
 
 def _lead_texts(leads: DataFrame) -> DataFrame:
@@ -168,15 +228,34 @@ def entity_texts(entities: DataFrame) -> DataFrame:
     return entities.select(F.col("record_no").alias("id"), F.concat_ws(", ", *fields).alias("text"), none.alias("city_hint"), none.alias("locality_hint"), none.alias("post_hint"))
 
 
-def same_building(listings: DataFrame, leads: DataFrame, entities: DataFrame) -> DataFrame:
+def record_buildings(listings: DataFrame, leads: DataFrame, entities: DataFrame) -> DataFrame:
+    """buildings() of the address records of all three tables; null addresses and repeats give nothing."""
+    texts = _lead_texts(leads).unionByName(_listing_texts(listings)).unionByName(entity_texts(entities)).filter("id is not null and text is not null")
+    return cut(buildings(cut(read_addresses(texts, places(leads)).distinct())))
+
+
+def building_classes(rows: DataFrame) -> DataFrame:
+    """(record_no, building_no, links) of buildings(): the smallest record of the same building, and how many others name it.
+
+    One row a record, however many share a building: two partial aggregations, no pairs.
+    """
+    own = rows.select(F.col("id").alias("record_no"), *KEY).distinct()
+    heads = own.groupBy(*KEY).agg(F.min("record_no").alias("building_no"), F.count("*").alias("n"))
+    return own.join(heads, KEY).groupBy("record_no").agg(F.min("building_no").alias("building_no"), F.max(F.col("n") - 1).alias("links"))
+
+
+def same_building(listings: DataFrame, leads: DataFrame, entities: DataFrame, unit_veto: bool = False) -> DataFrame:
     """(left_no, right_no), the smaller first: pairs of records whose addresses mean the same building.
 
-    Null addresses and addresses without street and number are in no pair; a repeated row counts once. The
-    pairs of a building are joined on its key, so a large building is split by the skew join.
+    Null addresses and addresses without street and number are in no pair; a repeated row counts once. With unit_veto,
+    records that both name a unit must name the same. The pairs of a building are joined on its key, so a large
+    building is split by the skew join; building_classes gives the same result without pairs.
     """
-    gaz = gazetteer(leads)
-    texts = _lead_texts(leads).unionByName(_listing_texts(listings)).unionByName(entity_texts(entities)).filter("id is not null and text is not null")
-    b = cut(buildings(cut(read_addresses(texts, gaz).drop("kind", "post").distinct())))
-    key = ["city", "place", "root", "number"]
-    left, right = b.withColumnRenamed("id", "left_no"), b.withColumnRenamed("id", "right_no")
-    return left.join(right, key).filter("left_no < right_no").select("left_no", "right_no").distinct()
+    b = record_buildings(listings, leads, entities)
+    left, right = b.withColumnRenamed("id", "left_no").withColumnRenamed("unit", "lu"), b.withColumnRenamed("id", "right_no").withColumnRenamed("unit", "ru")
+    if not unit_veto:
+        left, right = left.drop("lu").distinct(), right.drop("ru").distinct()
+    pairs = left.join(right, KEY).filter("left_no < right_no")
+    if unit_veto:
+        pairs = pairs.filter("lu is null or ru is null or lu = ru")
+    return pairs.select("left_no", "right_no").distinct()

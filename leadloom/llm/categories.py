@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from leadloom.session import cut, small
 
-from .addresses import deletions, one_edit
-from .linkage import folded
+from .addresses import deletions, folded, one_edit
 
 # Other names of the trades, in English, French, German and Spanish.
 OTHER_NAMES = {

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 # Street kinds with their written forms, unit words, landmark words, compass abbreviations.
@@ -52,6 +53,23 @@ def near(a: str, b: str) -> bool:
     return a[i + 1:] == b[i:] if la > lb else a[i:] == b[i + 1:]
 
 
+def _cuts(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1:] for i in range(len(word)))}
+
+
+def _index(words: Iterable[str]) -> dict[str, list[str]]:
+    """The words by each of their deletion forms."""
+    out: dict[str, list[str]] = {}
+    for w in words:
+        for c in _cuts(w):
+            out.setdefault(c, []).append(w)
+    return out
+
+
+def _alike(index: dict[str, list[str]], word: str) -> list[str]:
+    return sorted({w for c in _cuts(word) for w in index.get(c, ()) if near(word, w)})
+
+
 class Gazetteer:
     """Known cities, localities, regions (states, countries) and localities by postcode."""
 
@@ -61,6 +79,7 @@ class Gazetteer:
         self.regions = {fold(c) for c in regions if c}
         self.by_post = by_post
         self._near: dict[str, str] = {}
+        self._city_cuts, self._locality_cuts = _index(self.cities), _index(self.localities)
         forms: dict[str, set[str]] = {}
         for loc in self.localities:
             ws = loc.split()
@@ -86,7 +105,7 @@ class Gazetteer:
         if word not in self._near:
             if len(self._near) > 100_000:
                 self._near.clear()
-            hits = [c for c in self.cities if abs(len(c) - len(word)) <= 1 and near(word, c)]
+            hits = _alike(self._city_cuts, word)
             self._near[word] = hits[0] if len(hits) == 1 else ""
         return self._near[word] or None
 
@@ -95,7 +114,9 @@ class Gazetteer:
             return None
         key = "\n" + phrase
         if key not in self._near:
-            hits = [c for c in self.localities if abs(len(c) - len(phrase)) <= 1 and near(phrase, c)]
+            if len(self._near) > 100_000:
+                self._near.clear()
+            hits = _alike(self._locality_cuts, phrase)
             self._near[key] = hits[0] if len(hits) == 1 else ""
         return self._near[key] or None
 
@@ -184,15 +205,25 @@ def assign(words: list[str], gaz: Gazetteer) -> Named:
     return min(best[n].values(), key=lambda x: (x[0], repr(x[1])))[1]
 
 
-Parts = tuple[str | None, str | None, str | None, str | None, str | None, str | None]
+Parts = tuple[str | None, str | None, str | None, str | None, str | None, str | None, str | None]
+_unit_name = re.compile(r"\d+[a-z]?|[a-z]\b")
+
+
+def phrases(text: str) -> set[str]:
+    """What read() may look up of a text: its runs of one to three words, and its figures."""
+    s = fold(text)
+    out = {m[1] + m[2] for m in _post.finditer(s)} | {re.sub(r"\D", "", s), s.strip()}
+    for words in (_word.findall(s), re.findall(r"[a-z']+", s)):
+        out.update(" ".join(words[i: i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+    return out - {""}
 
 
 def read(text: str | None, gaz: Gazetteer, city: str | None = None, locality: str | None = None, post: str | None = None) -> Parts:
-    """(number, street, kind, locality, city, postcode); None for what the text and the hints don't say.
+    """(number, street, kind, locality, city, postcode, unit); None for what the text and the hints don't say.
 
     The street comes as its name alone, in lower case without accents; kind is its normalised type.
     """
-    none = (None,) * 6
+    none = (None,) * 7
     if text is None:
         return none
     s = fold(text)
@@ -204,6 +235,9 @@ def read(text: str | None, gaz: Gazetteer, city: str | None = None, locality: st
     if m := _post.search(s):
         code = m[1] + m[2]
         s = s[: m.start()] + " , " + s[m.end():]
+    unit = None
+    if (m := _unit_before.search(s)) and (u := _unit_name.findall(m[0])):
+        unit = u[-1]
     s = _unit_after.sub(" , ", _unit_before.sub(" , ", s))
     number = None
     if m := _number.search(s):
@@ -235,4 +269,4 @@ def read(text: str | None, gaz: Gazetteer, city: str | None = None, locality: st
         found_city = found_city or c
         if found_loc is None and c == found_city:
             found_loc = l
-    return number, street, kind, found_loc, found_city, code
+    return number, street, kind, found_loc, found_city, code, unit

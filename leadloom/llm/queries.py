@@ -39,6 +39,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_building(table(spark, d, "maps_listing"), table(spark, d, "lead_row"), table(spark, d, "entity_record"))
 
 
+def p3_buildings(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.building_classes(addresses.record_buildings(table(spark, d, "maps_listing"), table(spark, d, "lead_row"), table(spark, d, "entity_record")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return categories.map_categories(table(spark, d, "maps_listing"), table(spark, d, "lead_row"), table(spark, d, "category_ref"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p3_buildings": p3_buildings,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_truth": p5_truth,

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from leadloom.llm import addresses, categories, linkage, postal
 
 LEAD = "record_no bigint, address string, city string, locality string, postal_code string, state string, country string, category string"
@@ -22,11 +24,44 @@ def test_same_building(spark):
     assert addresses.same_building(maps.limit(0), leads(spark).limit(0), ents.limit(0)).count() == 0
 
 
+def test_street_kinds_and_postcodes(spark):
+    """Streets of one name and another kind differ; a missing kind is the street's own; a postcode joins spellings of unknown locality."""
+    rows = [(1, "5 Mill Lane, North Quay, Millford"), (2, "5 Mill Ln, N. Quay, Millford"), (3, "5 Mill Road, North Quay, Millford"), (4, "5 Mill Rd., Millford 410107"),
+            (5, "9 Corvane Street, Millford 410107"), (6, "9 Corvame St, Millford 410107"), (7, "9 Corvane, Millford 410107")]
+    extra = spark.createDataFrame([(i, t, "Millford", None, None, "State", "Land", None) for i, t in rows], LEAD)
+    none = spark.createDataFrame([], MAPS), spark.createDataFrame([], ENT)
+    every = leads(spark).unionByName(extra)
+    got = {tuple(r) for r in addresses.same_building(none[0], every, none[1]).collect() if max(r) < 100}
+    assert {(1, 2), (3, 4), (5, 6), (5, 7), (6, 7)} <= got and not {(1, 3), (1, 4), (2, 3)} & got
+
+
+def test_classes_and_units(spark):
+    rows = [(1, "Flat 2, 5 Mill Lane, North Quay, Millford"), (2, "Flat 3, 5 Mill Lane, North Quay, Millford"), (3, "5 Mill Lane, North Quay, Millford"), (3, "5 Mill Lane, North Quay, Millford"), (4, "6 Mill Lane, North Quay, Millford")]
+    df = spark.createDataFrame([(i, t, "Millford", None, None, "State", "Land", None) for i, t in rows], LEAD)
+    known = leads(spark).filter("record_no > 100").unionByName(df)
+    none = spark.createDataFrame([], MAPS), spark.createDataFrame([], ENT)
+    classes = {r["record_no"]: (r["building_no"], r["links"]) for r in addresses.building_classes(addresses.record_buildings(none[0], known, none[1])).collect()}
+    assert {k: v for k, v in classes.items() if k < 100} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
+    pairs = lambda veto: {tuple(r) for r in addresses.same_building(none[0], known, none[1], unit_veto=veto).collect() if max(r) < 100}
+    assert pairs(False) == {(1, 2), (1, 3), (2, 3)} and pairs(True) == {(1, 3), (2, 3)}
+
+
+def test_long_place_lists_are_split(spark):
+    """Beyond the broadcast bound the components come out the same, also with 300,000 places."""
+    many = spark.range(300_000).select(F.lit("city").alias("kind"), F.concat(F.lit("Zq"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("ovia")).alias("name"), F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("locality"))
+    known = addresses.places(leads(spark))
+    texts = addresses._lead_texts(leads(spark)).filter("text is not null").unionByName(spark.createDataFrame([(70, "Zqcdefovia, 8 Nettle Lane", None, None, None)], "id bigint, text string, city_hint string, locality_hint string, post_hint string"))
+    rows = lambda df: sorted(map(tuple, df.distinct().collect()), key=repr)
+    assert rows(addresses.read_addresses(texts, known)) == rows(addresses.read_addresses(texts, known, broadcast_rows=0))
+    got = rows(addresses.read_addresses(texts, known.unionByName(many)))
+    assert (70, "8", "nettle", "lane", None, "zqcdefovia", None, None) in got and len(got) == len(rows(addresses.read_addresses(texts, known)))
+
+
 def test_assignment_prefers_the_cheaper_reading():
     g = postal.Gazetteer(["Millford", "Otherton"], ["North Quay", "Southfields"], ["Land"], {})
-    assert postal.read("Shop 3B, 45A Teal Lane S.fields Milford", g) == ("45a", "teal", "lane", "southfields", "millford", None)
+    assert postal.read("Shop 3B, 45A Teal Lane S.fields Milford", g) == ("45a", "teal", "lane", "southfields", "millford", None, "3b")
     assert postal.read("Otherton, 7 Teal", g)[:5] == ("7", "teal", None, None, "otherton")
-    assert postal.read("", g) == postal.read(None, g) == (None,) * 6
+    assert postal.read("", g) == postal.read(None, g) == (None,) * 7
 
 
 def test_categories(spark):
