@@ -174,6 +174,12 @@ def street_roots(streets: DataFrame) -> DataFrame:
     return lead.join(where, ["city", "root"], "left").join(kinds, ["city", "root"], "left").select("city", "street", "root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("place"), "kind")
 
 
+def one_reading(parts: DataFrame) -> DataFrame:
+    """One row an id: repeats count once; of several readings the one with a number and the largest values stays."""
+    names = [x.split(" ")[0] for x in READ.split(", ")]
+    return parts.groupBy("id").agg(F.max(F.struct(*names)).alias("p")).select("id", "p.*")
+
+
 KEY = ["city", "place", "root", "kind", "number"]
 
 
@@ -182,10 +188,10 @@ def buildings(parts: DataFrame) -> DataFrame:
 
     A missing city is taken from the street if only one city has that street (in the same locality, where
     known); a missing locality from the street if it lies in one locality only; a missing street kind from the street's
-    most frequent one. Addresses without street or number, and those whose city stays unknown, give no row. Repeated
-    ids with equal parts give one row.
+    most frequent one. Addresses without street or number, and those whose city stays unknown, give no row. parts holds
+    an id once (one_reading).
     """
-    a = parts.filter("street is not null and number is not null").select("id", "number", "street", "kind", "locality", "city", "post", "unit").distinct()
+    a = parts.filter("street is not null and number is not null").select("id", "number", "street", "kind", "locality", "city", "post", "unit")
     counts = cut(a.groupBy("city", "street", "kind", "locality", "post").agg(F.count("*").alias("n")))
     roots = cut(street_roots(counts))
     # streets without a city: the one city that has the street, by exact or nearest spelling
@@ -208,7 +214,7 @@ def buildings(parts: DataFrame) -> DataFrame:
     named = a.filter("city is not null").join(roots.withColumnRenamed("kind", "usual"), ["city", "street"]).select(cols)
     guessed = a.filter("city is null").drop("city").join(hits, (F.col("street") == F.col("s")) & F.col("locality").eqNullSafe(F.col("l"))).select(cols)
     every = named.unionByName(guessed)
-    return every.select("id", "city", F.coalesce("locality", "place", F.lit("")).alias("place"), "root", F.coalesce("kind", "usual", F.lit("")).alias("kind"), "number", "unit").distinct()
+    return every.select("id", "city", F.coalesce("locality", "place", F.lit("")).alias("place"), "root", F.coalesce("kind", "usual", F.lit("")).alias("kind"), "number", "unit")
 
 
 def _lead_texts(leads: DataFrame) -> DataFrame:
@@ -231,7 +237,15 @@ def entity_texts(entities: DataFrame) -> DataFrame:
 def record_buildings(listings: DataFrame, leads: DataFrame, entities: DataFrame) -> DataFrame:
     """buildings() of the address records of all three tables; null addresses and repeats give nothing."""
     texts = _lead_texts(leads).unionByName(_listing_texts(listings)).unionByName(entity_texts(entities)).filter("id is not null and text is not null")
-    return cut(buildings(cut(read_addresses(texts, places(leads)).distinct())))
+    return buildings(cut(one_reading(read_addresses(texts, places(leads)))))
+
+
+#: A building's key in short: the rows that meet in joins carry 12 bytes instead of its names.
+SHORT_KEY = ["b1", "b2"]
+
+
+def _short(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "unit", F.xxhash64(*KEY).alias("b1"), F.hash(*KEY).alias("b2"))
 
 
 def building_classes(rows: DataFrame) -> DataFrame:
@@ -239,9 +253,9 @@ def building_classes(rows: DataFrame) -> DataFrame:
 
     One row a record, however many share a building: two partial aggregations, no pairs.
     """
-    own = rows.select(F.col("id").alias("record_no"), *KEY).distinct()
-    heads = own.groupBy(*KEY).agg(F.min("record_no").alias("building_no"), F.count("*").alias("n"))
-    return own.join(heads, KEY).groupBy("record_no").agg(F.min("building_no").alias("building_no"), F.max(F.col("n") - 1).alias("links"))
+    own = _short(rows).select(F.col("id").alias("record_no"), *SHORT_KEY)
+    heads = own.groupBy(*SHORT_KEY).agg(F.min("record_no").alias("building_no"), (F.count("*") - 1).alias("links"))
+    return own.join(heads, SHORT_KEY).select("record_no", "building_no", "links")
 
 
 def same_building(listings: DataFrame, leads: DataFrame, entities: DataFrame, unit_veto: bool = False) -> DataFrame:
@@ -251,11 +265,10 @@ def same_building(listings: DataFrame, leads: DataFrame, entities: DataFrame, un
     records that both name a unit must name the same. The pairs of a building are joined on its key, so a large
     building is split by the skew join; building_classes gives the same result without pairs.
     """
-    b = record_buildings(listings, leads, entities)
-    left, right = b.withColumnRenamed("id", "left_no").withColumnRenamed("unit", "lu"), b.withColumnRenamed("id", "right_no").withColumnRenamed("unit", "ru")
-    if not unit_veto:
-        left, right = left.drop("lu").distinct(), right.drop("ru").distinct()
-    pairs = left.join(right, KEY).filter("left_no < right_no")
+    b = cut(_short(record_buildings(listings, leads, entities)))
+    columns = ["id", *SHORT_KEY, *(["unit"] if unit_veto else [])]
+    left, right = b.select(columns).withColumnsRenamed({"id": "left_no", "unit": "lu"}), b.select(columns).withColumnsRenamed({"id": "right_no", "unit": "ru"})
+    pairs = left.join(right, SHORT_KEY).filter("left_no < right_no")
     if unit_veto:
         pairs = pairs.filter("lu is null or ru is null or lu = ru")
-    return pairs.select("left_no", "right_no").distinct()
+    return pairs.select("left_no", "right_no")

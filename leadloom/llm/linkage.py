@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leadloom.session import cut
 
-from .addresses import KEY, buildings, deletions, entity_texts, folded, one_edit, places, read_addresses
+from .addresses import KEY, buildings, deletions, entity_texts, folded, one_edit, one_reading, places, read_addresses
 
 # What is no part of a business name, and hosts' leading labels.
 NOISE = r"\b(pvt|ltd|limited|llc|llp|inc|gmbh|co|corp|plc|s l|s a|sl|the|and|official|new branch|24h)\b"
@@ -63,9 +63,9 @@ def prepared(entities: DataFrame, leads: DataFrame) -> DataFrame:
     SHARED_WEB_NAMES different names is a directory and says nothing.
     """
     once = entities.select("record_no", "provider_id", "name", "phone", "website").filter("record_no is not null").distinct()
-    read = cut(read_addresses(entity_texts(entities), places(leads)).distinct())
-    b = buildings(read).select(F.col("id").alias("record_no"), F.concat_ws("|", *KEY).alias("building"), F.col("city").alias("b_city")).distinct()
-    cities = read.groupBy(F.col("id").alias("record_no")).agg(F.min("city").alias("a_city"))
+    read = cut(one_reading(read_addresses(entity_texts(entities), places(leads))))
+    b = buildings(read).select(F.col("id").alias("record_no"), F.concat_ws("|", *KEY).alias("building"), F.col("city").alias("b_city"))
+    cities = read.select(F.col("id").alias("record_no"), F.col("city").alias("a_city"))
     base = cut(
         once.select("record_no", "provider_id", name_tokens(F.col("name")).alias("tokens"), phone_key(F.col("phone")).alias("phone"),
                     F.nullif(F.regexp_extract(F.lower("website"), HOST, 1), F.lit("")).alias("web"))
