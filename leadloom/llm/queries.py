@@ -63,6 +63,11 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(p8_packed(spark, d), table(spark, d, "container_spec"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    lengths, specs = cut(tokens.token_lengths(table(spark, d, "documents"))), table(spark, d, "container_spec")
+    return packing.mixture_report(packing.mixture(packing.pack_documents(lengths, specs), lengths), lengths, specs)
+
+
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(cut(tokens.token_lengths(table(spark, d, "documents"))), table(spark, d, "mix_target"))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_scored": p7_scored,
     "p8_packed": p8_packed,
     "p8_usage": p8_usage,
+    "p8_mixture": p8_mixture,
     "p9_mixed": p9_mixed,
     "p9_shares": p9_shares,
     "p10_found": p10_found,

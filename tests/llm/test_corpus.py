@@ -52,6 +52,36 @@ def test_packing_keeps_the_mixture():
     assert again == packing.pack(docs, 2048, share, {})
 
 
+def test_long_documents_do_not_fill_containers_alone():
+    docs = [(i, "abcd"[i % 4], 100) for i in range(400)] + [(1000 + i, "e", 5000) for i in range(4)]
+    share = {s: 10_000 / 60_000 for s in "abcd"} | {"e": 20_000 / 60_000}
+    boxes, pieces = {}, {}
+    for box, doc, piece, start, n in packing.pack(docs, 512, share, {}):
+        boxes.setdefault(box, set()).add(doc >= 1000)
+        pieces.setdefault(doc, []).append((piece, start, n))
+    assert sum(b == {True} for b in boxes.values()) <= 2
+    for d in range(1000, 1004):
+        p = sorted(pieces[d])
+        assert [x[0] for x in p] == list(range(len(p))) and sum(x[2] for x in p) == 5000 and all(x[2] >= 16 for x in p[:-1])
+
+
+def test_mixture_is_reported_beside_its_bound(spark):
+    rows = lengths(2000)
+    df, specs = spark.createDataFrame(rows, LEN), spark.createDataFrame([(1, 4096)], "spec_no int, capacity_tokens int")
+    packed = packing.pack_documents(df, specs)
+    off = packing.mixture(packed, df)
+    r = packing.mixture_report(off, df, specs).first()
+    assert 0 <= r["least_possible"] <= r["mean_deviation"] < 1
+    target = {s: sum(n for _, x, n in rows if (x or "") == s) / sum(n for _, _, n in rows) for s in ("a", "b", "")}
+    source, held = {i: s or "" for i, s, _ in rows}, {}
+    for x in packed.collect():
+        box = held.setdefault(x["container_no"], {})
+        box[source[x["doc_id"]]] = box.get(source[x["doc_id"]], 0) + x["n_tokens"]
+    want = {b: sum(abs(box.get(s, 0) / sum(box.values()) - p) for s, p in target.items()) / 2 for b, box in held.items() if sum(box.values())}
+    got = {x["container_no"]: x["deviation"] for x in off.collect()}
+    assert got.keys() == want.keys() and all(abs(got[b] - want[b]) < 1e-5 for b in want)
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(3)
     rows = [(i, s, rng.randrange(1, 60)) for i, s in enumerate(["big"] * 900 + ["mid"] * 200 + ["small"] * 40 + [None] * 30 + ["other"] * 20)] + [(5000, "big", 0)]
