@@ -1,14 +1,17 @@
 """Problem 1: personal details inside running text, found and replaced by typed placeholders.
 
-Method: offset-preserving deobfuscation. A character transducer normalises homoglyphs, full-width forms,
-invisible characters, odd blanks and dashes, a second one spelled digits and at/dot disguises; detectors run
-over the normalised text; every span found is mapped back to the source characters, so what is reported and
-replaced is exactly what stands in the text. Whole texts are read; the work is one pass in Arrow batches.
+Method: offset-preserving deobfuscation. A character transducer normalises homoglyphs, full-width forms, invisible
+characters, odd blanks and dashes; a second one, over its output, turns spelled digits into digits and at/dot
+disguises into "@" and ".". Both carry the source offsets of what they write. Detectors run over the normalised
+text, and every span found is mapped back to the source characters, so what is reported and replaced is exactly
+what stands in the text. Whole texts are read; the work is one pass in Arrow batches, and each detector looks only
+around its anchors ("@", figures beside street words, a card's bar), so its cost follows those, not the text.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,14 +57,69 @@ def transduce(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
-_at = r"(?:\s?[@]\s?|\s?[\(\[\{]\s?(?:at|@|arroba)\s?[\)\]\}]\s?)"
-_dot = r"(?:\.|\s?[\(\[\{]\s?(?:dot|punkt|punto|point|\.)\s?[\)\]\}]\s?)"
-_word = r"[A-Za-z0-9_%+\-]+"
-EMAIL = regex.compile(
-    rf"(?<![\w.+%\-@])(?:{_word}(?:{_dot}{_word})*+{_at}[A-Za-z0-9\-]+(?:{_dot}[A-Za-z0-9\-]+)*{_dot}[A-Za-z]{{2,24}}"
-    rf"|{_word}(?:(?:{_dot}|\sdot\s){_word})*\sat\s[A-Za-z0-9\-]+(?:(?:{_dot}|\sdot\s)[A-Za-z0-9\-]+)*\sdot\s[A-Za-z]{{2,24}})(?![\w@])",
-    regex.I,
-)
+_word = r"[\w%+\-]+"
+_dot = r"(?:\s?[\(\[\{]\s?(?:dot|punkt|punto|point|\.)\s?[\)\]\}]\s?|\s(?:dot|punkt|punto|point)\s|\.)"
+DOT = regex.compile(_dot, regex.I)
+AT = regex.compile(r"\s?[\(\[\{]\s?(?:at|@|arroba)\s?[\)\]\}]\s?|\s(?P<bare>at|arroba)\s|\s@\s?|@\s", regex.I)
+LOCAL_END = regex.compile(rf"(?<![\w.+%\-@]){_word}(?:{_dot}{_word})*$", regex.I)
+HOST_START = regex.compile(rf"[A-Za-z0-9\-]+(?:{_dot}[A-Za-z0-9\-]+)*?{_dot}[A-Za-z]{{2,24}}(?![\w@\-])(?!{_dot}[A-Za-z0-9])", regex.I)
+#: a bare "at" before a plainly dotted host is read as "@" only where a mail is spoken of
+MAIL_SPOKEN = regex.compile(r"(?:mail|write|mailto|schreiben|escrib\w+|[ée]cri\w+)\b(?:\s(?:to|me|us|an|a|à)\b)?[\s:]*$", regex.I)
+HOST = regex.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![\w@])")
+LOCAL = regex.compile(r"[\w%+\-]+(?:\.[\w%+\-]+)*$")
+_digit = rf"(?:(?:double|triple)[ \-])?(?:{'|'.join(DIGIT_WORDS)})"
+DIGIT_TOKEN = regex.compile(rf"(?:(?P<times>double|triple)[ \-])?(?P<word>{'|'.join(DIGIT_WORDS)})\b|(?P<figures>[0-9]{{1,4}})", regex.I)
+#: a run of spoken digits, figures among them, that starts and ends with any of them
+SPOKEN = regex.compile(rf"(?<![\w.])(?:(?:{_digit}\b|[0-9]{{1,4}}(?![\w]))[ ,\-]*){{3,16}}(?<=\w)", regex.I)
+DIGIT_WORD = regex.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})\b", regex.I)
+
+
+def undisguise(s: str) -> tuple[str, list[int], list[int]] | None:
+    """The text with disguised mail addresses and spoken numbers written out, and where each character starts and ends in s.
+
+    None where nothing is disguised. A number counts as spoken if three of its digits at least are words and it has
+    9 to 14 digits.
+    """
+    swaps: dict[int, tuple[int, str]] = {}
+    low = s.lower()
+    if "at" in low or "@" in s or "arroba" in low:
+        for m in AT.finditer(s):
+            a, b = m.span()
+            host = HOST_START.match(s, b)
+            local = LOCAL_END.search(s[max(0, a - 80): a]) if host else None
+            if not host or not local:
+                continue
+            if m["bare"] and "." in host[0] and not regex.search(r"dot|punkt|punto|point|\.\s?[\)\]\}]", host[0], regex.I) and not MAIL_SPOKEN.search(s[max(0, a - 110): a - len(local[0])]):
+                continue
+            swaps[a] = (b, "@")
+            first = a - len(local[0])
+            for start, end in ((first, a), (b, host.end())):
+                for d in DOT.finditer(s, start, end):
+                    if d[0] != ".":
+                        swaps[d.start()] = (d.end(), ".")
+    if len(DIGIT_WORD.findall(s)) >= 3:
+        for m in SPOKEN.finditer(s):
+            parts = list(DIGIT_TOKEN.finditer(s, m.start(), m.end()))
+            written = [DIGIT_WORDS[p["word"].lower()] * {"double": 2, "triple": 3}.get((p["times"] or "").lower(), 1) if p["word"] else p["figures"] for p in parts]
+            if sum(bool(p["word"]) for p in parts) >= 3 and 9 <= sum(map(len, written)) <= 14:
+                for k, p in enumerate(parts):
+                    end = parts[k + 1].start() if k + 1 < len(parts) else p.end()
+                    swaps[p.start()] = (end, written[k])
+    if not swaps:
+        return None
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    i = 0
+    while i < len(s):
+        b, text = swaps.get(i, (i + 1, s[i]))
+        out.append(text)
+        starts += [i] * len(text)
+        ends += [b] * len(text)
+        i = b
+    return "".join(out), starts, ends
+
+
 _d = r"[0-9OolI]"
 _gap = r"[ .\-]"
 PHONE = regex.compile(
@@ -69,7 +127,7 @@ PHONE = regex.compile(
     rf"(?:\({_d}{{3}}\) ?{_d}{{3}}{_gap}?{_d}{{4}}|{_d}{{3}}{_gap}{_d}{{3}}{_gap}{_d}{{4}}|{_d}{{5}}{_gap}{_d}{{5}}|{_d}{{10}})(?![\w]|[\-./]\d)"
 )
 PHONE_FREE = regex.compile(r"(?<![\w#/.\-])\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,5}\)?){2,5}(?![\w]|[\-./]\d)")
-SPELLED = regex.compile(r"\b(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b[ \-,]*){9,14}(?<=\w)", regex.I)
+SPOKEN_OUT = regex.compile(r"[0-9]{9,14}")
 
 _id = (
     r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}|[0-9]{4}[- ][0-9]{4}[- ][0-9]{4}|[A-Za-z]{2}[- ]?[0-9]{2}[- ]?[0-9]{11}"
@@ -96,6 +154,32 @@ ADDRESS = regex.compile(
     rf"|(?!(?i:{_kind}|no|flat|house|at|the|in|on|is|to)\b){_name}[ ]{_kind_end},?[ ]{_no}(?![\w%:.,]?\d))"
 )
 
+STREET_WORD = regex.compile(rf"\b(?:{_kind}|rue|calle|avenida|via|chemin|all[ée]e|place|pl|drive|dr|court|ct|way|close)\b|(?:stra(?:ß|ss)e|str\.|weg|gasse|platz)\b|str\.", regex.I)
+#: no address is longer on either side of its street word
+REACH = 90
+
+
+def addresses_in(s: str) -> Iterator[regex.Match]:
+    """ADDRESS wherever a street word has a figure near it."""
+    last = 0
+    windows: list[list[int]] = []
+    for m in STREET_WORD.finditer(s):
+        a, b = max(0, m.start() - REACH), min(len(s), m.end() + REACH)
+        while 0 < a and s[a - 1].isalnum():  # no window cuts a word
+            a -= 1
+        while b < len(s) and s[b].isalnum():
+            b += 1
+        if windows and a <= windows[-1][1]:
+            windows[-1][1] = b
+        else:
+            windows.append([a, b])
+    for a, b in windows:
+        if any(c.isdigit() for c in s[a:b]):
+            for m in ADDRESS.finditer(s, max(a, last), b):
+                last = m.end()
+                yield m
+
+
 _init = r"\p{L}\."
 _given = rf"(?:\p{{L}}[\p{{L}}'’]+(?:-\p{{L}}[\p{{L}}'’]+)?|{_init})"
 _family = r"(?:\p{L}['’])?\p{L}[\p{L}]+(?:-(?:\p{L}['’])?\p{L}[\p{L}]+)*"
@@ -105,7 +189,25 @@ _before = (
     r"|\breach\s|\breview by\s|\bthanks to\s|\bbooked by\s|\bissued to\s|\bclaimed from\s|\bon file for\s|\brechnung an\s|\bowner\s|\bkeys at\s|\bask for\s|\bcontact person:\s|\bi am\s|\bregards,\s"
 )
 NAME_CUED = regex.compile(rf"(?i:{_before})(?P<v>{PERSON})(?P<and>\s(?:and|und|et|y|&)\s(?P<w>{PERSON}))?")
-NAME_CARD = regex.compile(rf"(?P<v>{PERSON})(?=\s\|\s[\w.+%\-]+(?:\s?@|\s?[\(\[]\s?(?:at|dot)\b|\s(?:at|dot)\s))")
+NAME_BEFORE_BAR = regex.compile(rf"(?P<v>{PERSON})$")
+MAIL_AFTER_BAR = regex.compile(r"\s[\w.+%\-]+@")
+# Common given names of several languages; before a capitalised word they need no other cue.
+GIVEN = (
+    "Aaron Adam Adrian Ahmed Aisha Alan Albert Alejandro Alex Alexander Ali Alice Amanda Amelia Amina Ana Anders Andrea Andreas Andrew Anita Anna Anne "
+    "Anthony Antonio Arjun Arthur Barbara Beatrice Ben Benjamin Bernard Brian Bruno Carla Carlos Carmen Carol Caroline Catherine Charles Charlotte "
+    "Chloe Christian Christine Christopher Claire Clara Claudia Daniel David Deborah Diana Diego Dmitri Dorothy Edward Elena Elif Elizabeth Ella Emil Emily "
+    "Emma Eric Erik Eva Fatima Felix Fernando Florian Francesca Francisco Francois Frank Gabriel George Giulia Grace Greta Hana Hannah Hans Hassan "
+    "Heather Heinz Helen Henry Ibrahim Ines Ingrid Irina Isabel Ivan Jack Jakub James Jan Jana Jane Jason Javier Jean Jennifer Jessica Joao Johanna "
+    "Johannes John Jonas Jorge Jose Joseph Juan Julia Julie Karen Karim Karl Katarzyna Kevin Klaus Kofi Laura Leila Lena Linda Lisa Louis Louise Lucas Lucia "
+    "Luis Lukas Manuel Marco Margaret Maria Marie Mario Mark Markus Marta Martin Mary Mateo Matthew Meera Mehmet Michael Michelle Miguel Milan Mohammed Nadia "
+    "Nicolas Nicole Nikos Noah Nora Olga Olivia Omar Oscar Pablo Patricia Patrick Paul Paula Pedro Peter Pierre Priya Rachel Rafael Ravi Rebecca Richard Robert "
+    "Rosa Sandra Sara Sarah Sebastian Sergio Simon Sofia Sophie Stefan Susan Tariq Thomas Tomas Ursula Victoria William Yusuf Zoe"
+).split()
+NAME_PLAIN = regex.compile(
+    r"(?<![\w'’&\-@./]|& )(?P<v>\L<given>(?:-\p{Lu}\p{Ll}+)?(?:\s\p{Lu}\.)?\s(?:(?:de|la|del|da|di|van|von|der|den|bin|al)\s){0,2}(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:-(?:\p{Lu}['’])?\p{Lu}\p{Ll}+)*)(?![\w'’&\-]*\p{L})(?!\s(?:&|\p{Lu}\p{Ll}+\s(?:Ltd|Inc|GmbH|LLC)))",
+    given=GIVEN,
+)
+FAMILY_NOT = regex.compile(rf"(?i)\b(?:{_kind}|place|drive|court|way|close|park|bridge|island|station|airport|university|college|museum|hill|bank|market|quay|green|range|hotel|beach|january|february|march|april|may|june|july|august|september|october|november|december)$")
 NAME_SIGN = regex.compile(rf"(?:[–—]|(?<!\w)-)\s(?P<v>{PERSON})(?=,\s(?i:owner|manager|founder|director|inhaber|propri[ée]taire|propietari[oa])\b)")
 #: cues that also stand before other things, with what must follow the name
 NEEDS_AFTER = {
@@ -127,38 +229,50 @@ def _possessive(text: str, s: int, e: int) -> int:
 
 def detect(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, type) of the source text, in order and without overlap."""
-    s, at = transduce(text)
+    first, at = transduce(text)
+    second = undisguise(first)
+    s = second[0] if second else first
+    taken: list[tuple[int, int]] = []
     found: list[tuple[int, int, str]] = []
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y, _ in found)
-
-    if "@" in s or "at" in s.lower():
-        for m in EMAIL.finditer(s):
-            if regex.split(r"[.)\]\s]", m[0].lower())[-1] not in FILE_ENDINGS:
-                found.append((m.start(), m.end(), "EMAIL"))
+        k = bisect_left(taken, (a, a))
+        return (k == len(taken) or taken[k][0] >= b) and (k == 0 or taken[k - 1][1] <= a)
+
+    def take(a: int, b: int, kind: str) -> None:
+        insort(taken, (a, b))
+        found.append((a, b, kind))
+
+    i = s.find("@")
+    while i >= 0:
+        host = HOST.match(s, i + 1)
+        local = LOCAL.search(s, max(0, i - 80), i) if host else None
+        if host and local and (local.start() == 0 or s[local.start() - 1] not in "@") and host[0].rsplit(".", 1)[1].lower() not in FILE_ENDINGS and free(local.start(), host.end()):
+            take(local.start(), host.end(), "EMAIL")
+        i = s.find("@", i + 1)
     for pattern in (ID_LABELLED, ID_BARE):
         for m in pattern.finditer(s):
             a, b = m.span("v")
             if free(a, b) and not (pattern is ID_BARE and NO_PERSON.search(s[max(0, a - 40): a])) and any(c.isdigit() for c in m["v"]):
-                found.append((a, b, "ID_NUMBER"))
+                take(a, b, "ID_NUMBER")
     for pattern in (PHONE, PHONE_FREE):
         for m in pattern.finditer(s):
             digits = sum(c.isdigit() for c in m[0])
             if digits >= 8 and free(*m.span()) and not NO_PERSON.search(s[max(0, m.start() - 28): m.start()]):
-                found.append((m.start(), m.end(), "PHONE"))
-    for m in SPELLED.finditer(s):
-        if free(*m.span()):
-            found.append((m.start(), m.start() + len(m[0].rstrip(" -,")), "PHONE"))
-    for m in ADDRESS.finditer(s):
+                take(m.start(), m.end(), "PHONE")
+    if second:
+        for m in SPOKEN_OUT.finditer(s):
+            if second[2][m.start()] - second[1][m.start()] > 1 and free(*m.span()) and not NO_PERSON.search(s[max(0, m.start() - 28): m.start()]):
+                take(m.start(), m.end(), "PHONE")
+    for m in addresses_in(s):
         if free(*m.span()):
-            found.append((m.start(), m.end(), "ADDRESS"))
+            take(m.start(), m.end(), "ADDRESS")
 
     def name(a: int, b: int, cued: bool = True) -> None:
         b = _possessive(s, a, b)
         v = s[a:b]
         if free(a, b) and not NOT_NAMES.search(v) and not BUSINESS.search(v) and (cued or not TRADE.search(v)) and "\n" not in v:
-            found.append((a, b, "NAME"))
+            take(a, b, "NAME")
 
     for m in NAME_CUED.finditer(s):
         cue = regex.sub(r"[.:,\s]+$", "", s[m.start(): m.start("v")].lower().strip())
@@ -170,15 +284,22 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         name(a, b)
         if m["w"]:
             name(*m.span("w"))
-    if "|" in s:
-        for m in NAME_CARD.finditer(s):
+    bar = s.find(" | ")
+    while bar >= 0:
+        if MAIL_AFTER_BAR.match(s, bar + 2) and (m := NAME_BEFORE_BAR.search(s, max(0, bar - 80), bar)):
             name(*m.span("v"), cued=False)
+        bar = s.find(" | ", bar + 1)
     for m in NAME_SIGN.finditer(s):
         name(*m.span("v"), cued=False)
+    for m in NAME_PLAIN.finditer(s):
+        a, b = m.span("v")
+        after = regex.match(r"\s[\p{L}]+", s[b:])
+        if not FAMILY_NOT.search(m["v"]) and not (after and (BUSINESS.search(after[0]) or TRADE.search(after[0]))):
+            name(a, b, cued=False)
     found.sort()
-    if at is None:
-        return found
-    return [(at[a], at[b - 1] + 1, t) for a, b, t in found]
+    if second:
+        found = [(second[1][a], second[2][b - 1], t) for a, b, t in found]
+    return found if at is None else [(at[a], at[b - 1] + 1, t) for a, b, t in found]
 
 
 def redact(text: str) -> str:

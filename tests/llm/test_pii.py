@@ -1,5 +1,8 @@
 import pytest
 
+import random
+import time
+
 from leadloom.llm import pii
 
 
@@ -52,3 +55,41 @@ def test_tables(spark):
     texts = {(r["field_name"], r["row_no"]): r["text"] for r in pii.redacted_texts(pages, contacts).collect()}
     assert len(texts) == 4 and texts["crawl_page.extracted_text", 2] is None and texts["extracted_contact.context", 1] == "Signed: [NAME]"
     assert pii.personal_details(pages.limit(0), contacts.limit(0)).count() == 0
+
+
+def kinds(text):
+    return [(k, text[a:b]) for a, b, k in pii.detect(text)]
+
+
+def test_second_transducer_undoes_mixed_disguises():
+    """Brackets, bare words and plain forms in one address; words, figures and doubles in one number; exact source spans."""
+    for mail in ("joe [at] acme dot com", "joe (at) acme.com", "j.doe at mail dot acme dot co dot uk", "joe.b＠acme.example", "joe @ acme[.]com"):
+        assert kinds(f"Questions? {mail}, please.") == [("EMAIL", mail)]
+    for number in ("five seven 8 405 24 89 one", "nine eight, double seven 6 5 4 3 2 1", "triple four five six seven eight nine oh", "five seven eight four zero five two four eight nine"):
+        assert kinds(f"call {number} today") == [("PHONE", number)]
+    assert kinds("passport number: five one three six 2 two 7 zero nine.") == [("ID_NUMBER", "five one three six 2 two 7 zero nine")]
+    assert kinds("see offers at acme.com or at the desk dot com") == [] and kinds("write to joe at acme.com now") == [("EMAIL", "joe at acme.com")]
+    assert kinds("one or two of the three boats, four of five seats") == []
+    assert pii.redact("Mail joe [at] acme dot com or ring five seven 8 405 24 89 one!") == "Mail [EMAIL] or ring [PHONE]!"
+
+
+def test_names_without_cue():
+    """Sentences without any of the cue phrases; trades, streets and places with a given name are none."""
+    rng = random.Random(4)
+    families = ["Lopez", "Bianchi", "Okafor", "O'Neill", "Schneider-Voss", "Tanaka", "Haddad", "Novak"]
+    plain = ["Yesterday {a} met {b} at the market.", "Please send the invoice to {a} before noon, {b} said.", "The prize went to {a}; {b} came second.", "When {a} retired, {b} took over the kitchen."]
+    found = total = 0
+    for _ in range(200):
+        a, b = (f"{rng.choice(pii.GIVEN)} {rng.choice(families)}" for _ in range(2))
+        got = [v for k, v in kinds(rng.choice(plain).format(a=a, b=b)) if k == "NAME"]
+        found, total = found + len({a, b} & set(got)), total + len({a, b})
+    assert found >= 0.9 * total
+    for text in ("Maria Lopez Bakery is open.", "Turn into Victoria Park Road.", "Laura & Maria Lopez & Sons", "We sell Oscar Hotel vouchers."):
+        assert not kinds(text), text
+
+
+def test_many_details_in_one_long_text():
+    """No detail is compared with all others: 20,000 of them take seconds."""
+    text = " ".join(f"mail a{i}@b.example or +91 57{i % 1000:03d} {10000 + i % 90000}." for i in range(10_000))
+    began = time.time()
+    assert len(pii.detect(text)) == 20_000 and time.time() - began < 20
