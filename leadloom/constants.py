@@ -17,6 +17,7 @@ PRIMARY_FLOOR = 0.7
 MATCH_THRESHOLD = 0.82
 DEFAULT_COUNTRY = "91"
 RETRY_MS = (5_000, 30_000)
+LEASE_SECONDS = 300
 
 LEGAL_WORDS = ("pvt", "ltd", "llc", "inc", "co", "company", "private", "limited")
 ASSET_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".ico", ".css", ".js")
