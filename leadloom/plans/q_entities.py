@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom import constants as K
 from leadloom.functions import text, urls
-from leadloom.operators import graph, resolve, verify
+from leadloom.operators import graph, pairs, resolve, verify
 from leadloom.session import table
 
 from . import duck as D
@@ -129,3 +129,77 @@ def js_shell(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "crawl_page").select("page_no", "status_code", F.coalesce("html_snippet", F.lit("")).alias("h")).distinct()
     h, s = F.col("h"), F.col("status_code")
     return p.select("page_no", verify.reachable(s).alias("reachable"), verify.needs_browser(h, s).alias("shell"), F.nullif(text.page_title(h), F.lit("")).alias("title"))
+
+
+_PAIR = f"""a.domain = b.domain AS dom, a.phone = b.phone AS ph, {D.similarity('a.name', 'b.name')} AS nm, {D.similarity('a.addr', 'b.addr')} AS ad,
+      a.domain IS NOT NULL AND b.domain IS NOT NULL AS hd, a.phone IS NOT NULL AND b.phone IS NOT NULL AS hp, a.addr IS NOT NULL AND b.addr IS NOT NULL AS ha"""
+_SCORE = """((CASE WHEN dom THEN 0.35::DOUBLE ELSE 0 END) + (CASE WHEN ph THEN 0.3::DOUBLE ELSE 0 END) + 0.25::DOUBLE * nm + (CASE WHEN ha THEN 0.1::DOUBLE * ad ELSE 0 END))
+      / ((CASE WHEN hd THEN 0.35::DOUBLE ELSE 0 END) + (CASE WHEN hp THEN 0.3::DOUBLE ELSE 0 END) + 0.25::DOUBLE + (CASE WHEN ha THEN 0.1::DOUBLE ELSE 0 END))"""
+# every pair of distinct signals is compared here, which the operator never does
+FUZZY = f"""WITH {SIGNALS}, rep AS (SELECT name, phone, domain, addr, min(id) AS id FROM s WHERE name <> '' GROUP BY ALL),
+    c AS (SELECT a.id AS left_id, b.id AS right_id, {_PAIR} FROM rep a JOIN rep b ON a.id < b.id AND coalesce(a.domain <> b.domain, true) AND coalesce(a.phone <> b.phone, true) AND NOT coalesce(a.domain = b.domain, false) AND NOT coalesce(a.phone = b.phone, false)),
+    fz AS (SELECT left_id, right_id, {_SCORE} AS score FROM c WHERE {_SCORE} >= {K.MATCH_THRESHOLD})"""
+
+
+def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.fuzzy_pairs(resolve.signals(_records(spark, d)))
+
+
+@query(f"{FUZZY} SELECT left_id, right_id, round(score, 9) AS score FROM fz")
+def duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of distinct records that score the threshold without an equal phone or domain, best first."""
+    return _fuzzy(spark, d).select("left_id", "right_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "left_id", "right_id")
+
+
+@query(f"WITH {SIGNALS} SELECT id, min(id) OVER (PARTITION BY name, phone, domain, addr) AS representative FROM s")
+def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    """The record that stands for each record's equal signals in duplicate_pairs."""
+    return pairs.membership(resolve.signals(_records(spark, d)))
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT lead_id AS id, business_name AS name FROM lead_row), p AS (SELECT lead_id AS id, arg_min(contact_value, (row_no, contact_value)) AS phone FROM contact_row WHERE contact_type = 'PHONE' AND contact_value IS NOT NULL GROUP BY 1),
+    w AS (SELECT lead_id AS id, arg_min(website, (record_no, website)) AS website FROM lead_row WHERE website IS NOT NULL GROUP BY 1) SELECT id, name, phone, website FROM b LEFT JOIN p USING (id) LEFT JOIN w USING (id)"""
+)
+def resolution_input(spark: SparkSession, d: str) -> DataFrame:
+    """Leads with their first website and first phone."""
+    l, c = table(spark, d, "lead_row"), table(spark, d, "contact_row")
+    b = l.select(F.col("lead_id").alias("id"), F.col("business_name").alias("name"), F.lit(None).cast("string").alias("address")).distinct()
+    sites = l.select(F.col("lead_id").alias("id"), F.col("record_no").alias("seq"), "website")
+    phones = c.filter("contact_type = 'PHONE'").select(F.col("lead_id").alias("id"), F.col("row_no").alias("seq"), F.col("contact_value").alias("phone"))
+    return pairs.first_signals(b, sites, phones).drop("address")
+
+
+_LEADMAP = "lm AS (SELECT DISTINCT lead_id AS id, min(lead_id) OVER (PARTITION BY lower(business_name), coalesce(city, '')) AS survivor FROM lead_row)"
+
+
+def _lead_map(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lead_row").select("lead_id", F.lower("business_name").alias("name"), F.coalesce("city", F.lit("")).alias("city")).distinct()
+    least = l.groupBy("name", "city").agg(F.min("lead_id").alias("survivor"))
+    return l.join(least, ["name", "city"]).groupBy(F.col("lead_id").alias("id")).agg(F.min("survivor").alias("survivor"))
+
+
+@query(
+    f"""WITH {_LEADMAP}, m AS (SELECT id, min(survivor) AS survivor FROM lm GROUP BY 1), c AS (SELECT DISTINCT 'contacts' AS kind, lead_id AS owner, row_no::VARCHAR AS item FROM contact_row UNION ALL SELECT DISTINCT 'scores', lead_id, score_no::VARCHAR FROM scoring_result
+      UNION ALL SELECT DISTINCT 'sources', lead_id, record_no::VARCHAR FROM lead_row UNION ALL SELECT DISTINCT 'aliases', lead_id, business_name FROM lead_row), w AS (SELECT DISTINCT lead_id AS owner, {D.domain('website')} AS domain FROM lead_row WHERE website IS NOT NULL)
+    SELECT kind, coalesce(survivor, owner) AS owner, item FROM c LEFT JOIN m ON m.id = c.owner UNION ALL SELECT DISTINCT 'websites', coalesce(survivor, owner), domain FROM w LEFT JOIN m ON m.id = w.owner"""
+)
+def merged_children(spark: SparkSession, d: str) -> DataFrame:
+    """Contacts, scores, sources, aliases and websites of merged leads at their survivors; leads of one name and city are merged here."""
+    l = table(spark, d, "lead_row")
+    child = lambda t, c: table(spark, d, t).select(F.col("lead_id").alias("owner"), F.col(c).cast("string").alias("item")).distinct()
+    parts = {"contacts": child("contact_row", "row_no"), "scores": child("scoring_result", "score_no"), "sources": child("lead_row", "record_no"), "aliases": child("lead_row", "business_name"),
+             "websites": l.filter("website is not null").select(F.col("lead_id").alias("owner"), urls.domain(F.col("website")).alias("domain")).distinct()}
+    merged = pairs.merge_children(parts, _lead_map(spark, d))
+    rows = [df.select(F.lit(k).alias("kind"), "owner", F.col("domain" if k == "websites" else "item").alias("item")) for k, df in merged.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query(f"WITH {_LEADMAP}, m AS (SELECT id, min(survivor) AS survivor FROM lm GROUP BY 1), x AS (SELECT DISTINCT city AS job, coalesce(survivor, lead_id) AS id FROM lead_row LEFT JOIN m ON m.id = lead_id WHERE city IS NOT NULL) SELECT job, string_agg(id, ',' ORDER BY id) AS ids FROM x GROUP BY 1")
+def merged_job_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Each city's list of leads with merged leads replaced by their survivors."""
+    jobs = table(spark, d, "lead_row").filter("city is not null").groupBy(F.col("city").alias("job")).agg(F.collect_set("lead_id").alias("ids"))
+    return pairs.merge_ids(jobs, _lead_map(spark, d)).select("job", F.array_join("ids", ",").alias("ids"))
