@@ -115,3 +115,7 @@ def plain_number(c: Column) -> Column:
 def retry_delay_ms(attempts: Column) -> Column:
     """Wait before the next attempt; null when there is none."""
     return F.when(attempts <= 1, K.RETRY_MS[0]).when(attempts == 2, K.RETRY_MS[1])
+
+
+def short_error(c: Column, most: int = 4_000) -> Column:
+    return F.substring(c, 1, most)

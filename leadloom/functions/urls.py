@@ -134,3 +134,32 @@ def resolve(href: Column, base: Column) -> Column:
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
     h = F.regexp_replace(F.trim(href), r"#.*$", "")
     return F.when(h.rlike(r"^https?://"), h).when(h.startswith("//"), F.concat(F.lit("https:"), h)).when(h.startswith("/"), F.concat(origin, h)).when(h == "", base).otherwise(F.concat(folder, h))
+
+
+def place_details(tel_hrefs: Column, labels: Column, authority: Column, links: Column) -> Column:
+    """struct(phone, website) of a place's signals: the first tel link's number, else the first label's; authority links come before others.
+
+    Null arrays count as empty.
+    """
+    none = F.array().cast("array<string>")
+    first = lambda c, f: F.try_element_at(F.filter(F.transform(F.coalesce(c, none), f), lambda x: x.isNotNull()), F.lit(1))
+    return F.struct(
+        F.coalesce(first(tel_hrefs, tel_number), first(labels, label_number)).alias("phone"),
+        pick_website(F.concat(F.coalesce(authority, none), F.coalesce(links, none))).alias("website"),
+    )
+
+
+MAPS = "https://www.google.com"
+
+
+def place_url(href: Column) -> Column:
+    """A listing's link, absolute."""
+    return F.when(href.startswith("http"), href).when(href.startswith("/"), F.concat(F.lit(MAPS), href)).otherwise(F.concat(F.lit(MAPS + "/"), href))
+
+
+def search_url(text: Column) -> Column:
+    """The search page of a query text, percent-encoded."""
+    e = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        e = F.replace(e, F.lit(code), F.lit(char))
+    return F.concat(F.lit(f"{MAPS}/maps/search/"), e)

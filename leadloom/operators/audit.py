@@ -7,6 +7,7 @@ counts. A site's home page is its first page with path '/', else its first page.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,17 @@ def home_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def at_home(module: Callable[[DataFrame], DataFrame], pages: DataFrame) -> DataFrame:
+    """A row-wise module over the home page of every site, without moving any page.
+
+    Every page is reduced to its metrics where it lies; the home page's are kept by one partial aggregation.
+    """
+    wide = module(pages.withColumn("site_id", F.struct("site_id", F.when(urls.path(F.col("url")) == "/", 0).otherwise(1).alias("other"), "seq")))
+    names = [c for c in wide.columns if c != "site_id"]
+    best = wide.groupBy(F.col("site_id.site_id").alias("site_id")).agg(F.min_by(F.struct(*names), F.struct("site_id.other", "site_id.seq")).alias("m"))
+    return best.select("site_id", "m.*")
+
+
 def _one(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
 
@@ -46,6 +58,10 @@ def seo(home: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     h = h.select("site_id", "has_sitemap", "robots_allowed", html.alias("html"), F.size(imgs).alias("n_img"), with_alt.alias("n_alt"), F.length(body).alias("n_text"), _count(html, r"(?i)<h1\b").alias("n_h1"))
     x = F.col("html")
     cover = F.when(F.col("n_img") > 0, F.col("n_alt") / F.col("n_img")).otherwise(1.0)
+    scripts = F.regexp_extract_all(x, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    nodes = F.flatten(F.transform(scripts, lambda j: F.coalesce(F.from_json(F.when(F.trim(j).startswith("["), j).otherwise(F.concat(F.lit("["), j, F.lit("]"))), "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))))
+    kinds = F.transform(nodes, lambda n: F.try_element_at(n, F.lit("@type")))
+    types = F.aggregate(kinds, F.lit(0), lambda k, t: k + F.when(t.isNull(), 0).when(t.startswith("["), F.coalesce(F.size(F.from_json(t, "array<string>")), F.lit(0))).otherwise(1))
     m = {
         "title": _one(text.page_title(x) != ""), "description": _one(x.rlike(r"""(?i)<meta\s[^>]*name=["']description["'][^>]*content=["']\s*[^"'\s]""")),
         "h1": F.when(F.col("n_h1") == 1, 1.0).when(F.col("n_h1") > 1, 0.5).otherwise(0.0), "canonical": _one(x.rlike(r"""(?i)<link\s[^>]*rel=["']canonical["'][^>]*href=["'][^"']""")),
@@ -53,6 +69,7 @@ def seo(home: DataFrame, sites: DataFrame | None = None) -> DataFrame:
         "social": _one(x.rlike(r"""(?i)<meta\s[^>]*(property=["']og:(title|description)["']|name=["']twitter:card["'])""")),
         "structured": _one(x.rlike(r"(?i)application/ld\+json")), "alt_coverage": cover, "thin": _one((F.col("n_text") > 0) & (F.col("n_text") < 200)),
         "hreflang": _one(x.rlike(r"(?i)<link\s[^>]*hreflang=")), "sitemap": _one(F.col("has_sitemap")), "robots": _one(F.coalesce("robots_allowed", F.lit(True))),
+        "ld_types": types,
     }
     h = h.select("site_id", "n_h1", *[v.alias(k) for k, v in m.items()])
     c = F.col
@@ -104,7 +121,7 @@ def technical(pages: DataFrame) -> DataFrame:
     broken = pages.groupBy("site_id").agg(F.count_if(F.col("status") >= 400).alias("broken"), F.count("*").alias("pages"))
     st = F.coalesce("status", F.lit(0))
     base = F.when(st.between(200, 399), 85.0).when(st == 0, 20.0).otherwise(30.0)
-    h = home_pages(pages).select("site_id", st.alias("status"), base.alias("base"))
+    h = at_home(lambda p: p.select("site_id", st.alias("status"), base.alias("base")), pages.select("site_id", "seq", "url", "status"))
     return h.join(broken, "site_id").select("site_id", "status", "broken", "pages", F.greatest(F.lit(0.0), F.col("base") - F.col("broken") * 5).alias("score"))
 
 
@@ -163,15 +180,32 @@ def findings(module: str, audited: DataFrame) -> DataFrame:
 
 
 def metrics(module: str, audited: DataFrame) -> DataFrame:
-    """(site_id, module, name, value): a module's wide rows as long ones; null metrics are left out."""
-    names = [c for c in audited.columns if c != "site_id"]
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])
-    return audited.select("site_id", F.lit(module).alias("module"), F.explode(pairs).alias("m")).select("site_id", "module", "m.name", "m.value").filter("value is not null")
+    """(site_id, module, name, value): a module's wide rows as long ones, under their fixed names; null metrics are left out."""
+    w = audited
+    if module == "SEO":
+        w = w.withColumns({"alt_percent": F.floor(F.col("alt_coverage") * 100 + 0.5), "local_score": F.when((F.col("structured") == 1) & (F.col("title") == 1), 75.0).otherwise(40.0)})
+    if module == "SECURITY":
+        w = w.withColumn("tls_valid", F.col("https"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for c, n in METRIC_NAMES[module].items() if c in w.columns])
+    return w.select("site_id", F.lit(module).alias("module"), F.explode(pairs).alias("m")).select("site_id", "module", "m.name", "m.value").filter("value is not null")
 
 
 def all_modules(pages: DataFrame) -> dict[str, DataFrame]:
-    home = home_pages(pages)
-    return {"SEO": seo(home), "SECURITY": security(home), "CONVERSION": conversion(pages), "TECHNICAL": technical(pages), "ACCESSIBILITY": accessibility(home), "MOBILE_UX": mobile(home)}
+    return {"SEO": at_home(seo, pages), "SECURITY": at_home(security, pages), "CONVERSION": conversion(pages), "TECHNICAL": technical(pages), "ACCESSIBILITY": at_home(accessibility, pages), "MOBILE_UX": at_home(mobile, pages)}
+
+
+# How the metrics are named in metric rows, which lookups by module and name rely on.
+METRIC_NAMES = {
+    "SEO": {"title": "titlePresent", "description": "descriptionPresent", "h1": "h1Present", "canonical": "canonical", "viewport": "viewport", "social": "openGraph", "structured": "structuredData", "hreflang": "hreflang",
+            "alt_percent": "imageAltCoverage", "thin": "thinContent", "sitemap": "sitemap", "robots": "robots", "score": "technicalSEOScore", "content_score": "contentSEOScore", "local_score": "localSEOReadiness", "ld_types": "structuredDataTypes"},
+    "SECURITY": {"https": "https", "hsts": "hsts", "csp": "csp", "content_type_options": "xContentTypeOptions", "referrer_policy": "referrerPolicy", "permissions_policy": "permissionsPolicy", "cookie_secure": "cookieSecure",
+                 "cookie_http_only": "cookieHttpOnly", "no_mixed": "mixedContent", "tls_valid": "tlsValid"},
+    "CONVERSION": {"phone": "phoneCta", "chat": "whatsappCta", "mail": "emailCta", "form": "contactForm", "booking": "bookingCta", "trust": "trustSignals", "fields": "formFieldCount", "score": "conversionReadinessScore"},
+    "TECHNICAL": {"status": "statusCode", "broken": "brokenLinks", "pages": "pagesCrawled"},
+    "ACCESSIBILITY": {"lang": "lang", "landmarks": "landmarks", "no_alt": "imagesMissingAlt", "unlabeled": "unlabeledInputs", "skip_link": "skipLink", "contrast": "contrastHeuristic", "score": "accessibilityScore"},
+    "MOBILE_UX": {"viewport": "viewportQuality", "taps": "tapTargetHeuristic", "font": "readableFontBase", "overflow": "horizontalOverflowRisk", "cta": "mobileCta", "score": "mobileUxScore"},
+}
+CONFIDENCE = {"SEO": 0.85, "SECURITY": 0.8, "CONVERSION": 0.75, "TECHNICAL": 0.8, "ACCESSIBILITY": 0.75, "MOBILE_UX": 0.7}
 
 
 def technologies(pages: DataFrame) -> DataFrame:

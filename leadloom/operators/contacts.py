@@ -67,7 +67,8 @@ def extract_contacts(pages: DataFrame) -> DataFrame:
     rows = p.withColumn("foot", foot).withColumn("body", body).withColumn("contact", contact).select("page_id", "url", "contact", F.explode(found).alias("c"))
     rows = rows.select("page_id", "url", "c.*", (F.col("contact") | (F.col("c.method") == "SCHEMA_ORG")).alias("on_contact"))
     value = F.when(F.col("kind") == "EMAIL", text.email_key(F.col("raw"))).when(F.col("kind") == "CONTACT_FORM", F.col("raw")).otherwise(text.phone_key(F.col("raw")))
-    rows = rows.withColumn("value", value).filter(F.col("value").isNotNull() & ~((F.col("kind") == "EMAIL") & is_noise_email(F.col("value"))))
+    # the explode of a single value keeps the filters from being pushed into, and multiplying, the normalisers' code
+    rows = rows.withColumn("value", F.explode(F.array(value))).filter(F.col("value").isNotNull() & ~((F.col("kind") == "EMAIL") & is_noise_email(F.col("value"))))
     conf = (
         F.when(F.col("kind") == "EMAIL", email_confidence(F.col("method"), F.col("on_contact"), F.col("value"), urls.domain(F.col("url")), F.col("footer")))
         .when(F.col("kind") == "PHONE", phone_confidence(F.col("method"), F.col("on_contact"), F.col("value")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +19,19 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column], k: int = 1) ->
 
 
 def latest_runs(scores: DataFrame, k: int = 1) -> DataFrame:
-    """The k latest scoring runs of every lead; equal times go to the larger score_no; repeated rows count once."""
+    """The k latest scoring runs of every lead; equal times go to the larger score_no; repeated rows count once.
+
+    NaN figures become null in every column of floating point.
+    """
     once = scores.dropDuplicates(["score_no", "lead_id"])
+    once = once.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in once.dtypes if t in ("double", "float")})
     return latest(once, ["lead_id"], [F.desc_nulls_last("scored_at"), F.desc_nulls_last("score_no")], k)
 
 
 def current(leads: DataFrame, scores: DataFrame) -> DataFrame:
     """Leads with the figures of their latest run; leads without runs have nulls. NaN figures count as missing."""
     fields = ["sales_opportunity", "website_health", "contact_confidence", "audit_confidence"]
-    s = latest_runs(scores).select("lead_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in fields], F.col("priority").alias("run_priority"))
+    s = latest_runs(scores).select("lead_id", *fields, F.col("priority").alias("run_priority"))
     return leads.join(s, "lead_id", "left")
 
 
@@ -43,7 +50,17 @@ SORTS = {"opportunity": "sales_opportunity", "health": "website_health"}
 
 def lead_filter(leads: DataFrame, category: str | None = None, priority: str | None = None, grade: str | None = None, city: str | None = None,
                 search: str | None = None, floors: dict[str, float] | None = None) -> DataFrame:
-    """All given conditions hold: equal category, priority, grade; city and search by pattern without case; a missing figure passes no floor."""
+    """All given conditions hold: equal category, priority, grade; city and search by pattern without case; a missing figure passes no floor.
+
+    A search looks into the canonical name, where the leads have one, the name and the category. A text that is no
+    valid pattern is an error before any job starts.
+    """
+    for v in (city, search):
+        if v is not None:
+            try:
+                re.compile(v)
+            except re.error as e:
+                raise ValueError(f"not a search pattern: {v!r}") from e
     out = leads
     for c, v in (("category", category), ("run_priority", priority), ("data_quality_grade", grade)):
         if v is not None:
@@ -52,7 +69,7 @@ def lead_filter(leads: DataFrame, category: str | None = None, priority: str | N
         out = out.filter(F.col("city").rlike(f"(?i){city}"))
     if search is not None:
         hit = lambda c: F.coalesce(F.col(c).rlike(f"(?i){search}"), F.lit(False))
-        out = out.filter(hit("business_name") | hit("category"))
+        out = out.filter(reduce(lambda a, b: a | b, [hit(c) for c in ("canonical_name", "business_name", "category") if c in leads.columns]))
     for c, v in (floors or {}).items():
         out = out.filter(F.col(c) >= v)
     return out

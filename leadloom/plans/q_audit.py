@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom import constants as K
 from leadloom.functions import dom
 from leadloom.operators import audit
-from leadloom.session import table
+from leadloom.session import saved, table
 
 from . import duck as D
 from .q_sources import PAGE_ROWS, made_pages
@@ -29,9 +31,9 @@ rx = lambda p: f"regexp_matches(html, {D.q(p)})"
 _SEO = f"""seo0 AS (SELECT site_id, {n("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) <> ''")} AS title, {n(rx(r'''(?i)<meta\s[^>]*name=["']description["'][^>]*content=["']\s*[^"'\s]'''))} AS description,
   len(regexp_extract_all(html, '(?i)<h1\\b')) AS nh, {n(rx(r'''(?i)<link\s[^>]*rel=["']canonical["'][^>]*href=["'][^"']'''))} AS canonical, {n(rx(r'''(?i)<meta\s[^>]*name=["']viewport["'][^>]*content=["'][^"']'''))} AS viewport,
   {n(rx(r'''(?i)<meta\s[^>]*(property=["']og:(title|description)["']|name=["']twitter:card["'])'''))} AS social, {n(rx(r'(?i)application/ld\+json'))} AS structured, regexp_extract_all(html, '(?i)<img\\b[^>]*>') AS imgs,
-  length({D.squeeze(D.sub("regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1)", '<[^>]+>', ' '))}) AS nt, {n(rx(r'(?i)<link\s[^>]*hreflang='))} AS hreflang FROM home),
+  length({D.squeeze(D.sub("regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1)", '<[^>]+>', ' '))}) AS nt, {n(rx(r'(?i)<link\s[^>]*hreflang='))} AS hreflang, coalesce(json_array_length(regexp_extract(html, '(?is)<script type="application/ld\\+json">(.*?)</script>', 1), '$."@type"'), 0)::INTEGER AS ld_types FROM home),
   seo1 AS (SELECT site_id, title, description, CASE WHEN nh = 1 THEN 1.0 WHEN nh > 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS h1, canonical, viewport, social, structured,
-    CASE WHEN len(imgs) > 0 THEN len(list_filter(imgs, lambda t: regexp_matches(t, {D.q(r'''(?i)\balt=["'][^"']*\S[^"']*["']''')}))) / len(imgs)::DOUBLE ELSE 1.0 END AS alt_coverage, {n('nt > 0 AND nt < 200')} AS thin, hreflang, 0.0::DOUBLE AS sitemap, 1.0::DOUBLE AS robots FROM seo0),
+    CASE WHEN len(imgs) > 0 THEN len(list_filter(imgs, lambda t: regexp_matches(t, {D.q(r'''(?i)\balt=["'][^"']*\S[^"']*["']''')}))) / len(imgs)::DOUBLE ELSE 1.0 END AS alt_coverage, {n('nt > 0 AND nt < 200')} AS thin, hreflang, 0.0::DOUBLE AS sitemap, 1.0::DOUBLE AS robots, ld_types FROM seo0),
   seo AS (SELECT *, (title + description + {n('h1 = 1')} + canonical + viewport + social + structured + (CASE WHEN alt_coverage >= 0.7 THEN 1.0 ELSE alt_coverage * 0.7::DOUBLE END) + 1 - thin + sitemap + robots) / 11.0::DOUBLE * 100 AS score, (title + description + {n('h1 = 1')} + 1 - thin) / 4 * 100 AS content_score FROM seo1)"""
 _SEC = f"""sec AS (SELECT site_id, 1.0::DOUBLE AS https, {n('hsts')} AS hsts, 0.0::DOUBLE AS csp, 0.0::DOUBLE AS content_type_options, 0.0::DOUBLE AS referrer_policy, 0.0::DOUBLE AS permissions_policy, {n('NOT ' + rx('''(?i)(?:src|href)=["']http://'''))} AS no_mixed,
   CASE WHEN cookie THEN 1.0::DOUBLE END AS cookie_secure, CASE WHEN cookie THEN 0.0::DOUBLE END AS cookie_http_only, {n('server')} AS server_shown FROM home),
@@ -54,12 +56,12 @@ _TECH_CAPTURED = "tp AS (SELECT DISTINCT page_no, site_domain AS site_id, url, s
 
 @query(f"{HOME}, {_SEO} SELECT * REPLACE (round(score, 6) AS score) FROM seo")
 def audit_seo(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(audit.seo(audit.home_pages(_pages(spark, d))))
+    return _rounded(audit.at_home(audit.seo, _pages(spark, d)))
 
 
 @query(f"{HOME}, {_SEC} SELECT * REPLACE (round(score, 6) AS score) FROM security")
 def audit_security(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(audit.security(audit.home_pages(_pages(spark, d))))
+    return _rounded(audit.at_home(audit.security, _pages(spark, d)))
 
 
 @query(f"{HOME}, {_CONV} SELECT * FROM conversion")
@@ -79,42 +81,46 @@ def audit_technical(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{HOME}, {_A11Y} SELECT * REPLACE (round(score, 6) AS score) FROM accessibility")
 def audit_a11y(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(audit.accessibility(audit.home_pages(_pages(spark, d))))
+    return _rounded(audit.at_home(audit.accessibility, _pages(spark, d)))
 
 
 @query(f"{HOME}, {_MOB} SELECT * REPLACE (round(score, 6) AS score) FROM mobile")
 def audit_mobile(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(audit.mobile(audit.home_pages(_pages(spark, d))))
+    return _rounded(audit.at_home(audit.mobile, _pages(spark, d)))
 
 
-_WIDE = {"SEO": "seo", "SECURITY": "security", "CONVERSION": "conversion", "ACCESSIBILITY": "accessibility", "MOBILE_UX": "mobile"}
+_TECHNICAL = "technical AS (SELECT DISTINCT site_id, 200 AS status, 0 AS broken, 2 AS pages, 85.0::DOUBLE AS score FROM al)"
+_WIDE = {"SEO": "seo", "SECURITY": "security", "CONVERSION": "conversion", "TECHNICAL": "technical", "ACCESSIBILITY": "accessibility", "MOBILE_UX": "mobile"}
+_ALL = f"{HOME}, {_SEO}, {_SEC}, {_CONV}, {_TECHNICAL}, {_A11Y}, {_MOB}"
 _F_SQL = " UNION ALL ".join(f"SELECT site_id, '{m}' AS module, '{code}' AS code, '{sev}' AS severity FROM {t} WHERE {cond}" for m, t in _WIDE.items() for code, sev, cond in audit.FINDINGS[m])
 
 
-@query(f"{HOME}, {_SEO}, {_SEC}, {_CONV}, {_A11Y}, {_MOB}, f AS ({_F_SQL}) SELECT site_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'MAJOR') AS major, count(*) FILTER (severity = 'MINOR') AS minor, count(DISTINCT module) AS modules FROM f GROUP BY site_id")
+def findings_of(pages: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [audit.findings(m, a) for m, a in audit.all_modules(pages).items()])
+
+
+def metric_rows_of(pages: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [audit.metrics(m, a) for m, a in audit.all_modules(pages).items()])
+
+
+@query(f"{_ALL}, f AS ({_F_SQL}) SELECT site_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'MAJOR') AS major, count(*) FILTER (severity = 'MINOR') AS minor, count(DISTINCT module) AS modules FROM f GROUP BY site_id")
 def finding_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of every site by severity, over five modules."""
-    mods = {m: a for m, a in audit.all_modules(_pages(spark, d)).items() if m in _WIDE}
-    parts = [audit.findings(m, a) for m, a in mods.items()]
-    f = parts[0]
-    for p in parts[1:]:
-        f = f.unionByName(p)
+    """Findings of every site by severity, over all six modules."""
+    f = findings_of(saved(_pages(spark, d)))
     by = lambda s: F.count_if(F.col("severity") == s).alias(s.lower())
     return f.groupBy("site_id").agg(by("CRITICAL"), by("MAJOR"), by("MINOR"), F.countDistinct("module").alias("modules"))
 
 
-_M_SQL = " UNION ALL ".join(
-    f"SELECT site_id, '{m}' AS module, name, value FROM (UNPIVOT (SELECT site_id, {', '.join(f'{c}::DOUBLE AS {c}' for c in cols)} FROM {t}) ON {', '.join(cols)} INTO NAME name VALUE value)"
-    for m, t, cols in (("MOBILE_UX", "mobile", ("viewport", "taps", "font", "overflow", "cta", "score")), ("CONVERSION", "conversion", ("phone", "chat", "mail", "form", "booking", "sticky", "trust", "contact_url", "fields", "score")))
-)
+_DERIVED = {"alt_percent": "floor(alt_coverage * 100 + 0.5)", "local_score": "CASE WHEN structured = 1 AND title = 1 THEN 75.0 ELSE 40.0 END", "tls_valid": "https"}
+_METRICS = f"{_ALL}, metric AS (SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT site_id, '{m}' AS module, '{name}' AS name, ({_DERIVED.get(c, c)})::DOUBLE AS value FROM {_WIDE[m]}" for m, names in audit.METRIC_NAMES.items() for c, name in names.items()
+) + ") WHERE value IS NOT NULL)"
 
 
-@query(f"{HOME}, {_CONV}, {_MOB} SELECT site_id, module, name, round(value, 6) AS value FROM ({_M_SQL})")
+@query(f"{_METRICS} SELECT site_id, module, name, round(value, 6) AS value FROM metric")
 def metric_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Two modules' wide rows as long metric rows."""
-    p = _pages(spark, d)
-    rows = audit.metrics("MOBILE_UX", audit.mobile(audit.home_pages(p))).unionByName(audit.metrics("CONVERSION", audit.conversion(p)))
-    return rows.withColumn("value", F.round("value", 6))
+    """All modules' wide rows as long metric rows."""
+    return metric_rows_of(saved(_pages(spark, d))).withColumn("value", F.round("value", 6))
 
 
 _FP = "(VALUES " + ", ".join(f"({D.q(a)}, {D.q(b)}, {D.q('(?i)' + c)}, {s}::DOUBLE)" for a, b, c, s in K.FINGERPRINTS) + ") AS fp(name, category, rx, confidence)"
@@ -188,6 +194,6 @@ def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of extracted contacts and of one module's findings in one table."""
     c = table(spark, d, "extracted_contact").select("contact_no", "contact_type", "contact_value", "extract_method", "confidence").distinct()
     a = c.select(F.col("contact_no").cast("string").alias("subject"), F.lower("contact_type").alias("field"), F.col("contact_value").alias("value"), F.col("extract_method").alias("method"), F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"))
-    f = audit.findings("MOBILE_UX", audit.mobile(audit.home_pages(_pages(spark, d))))
+    f = audit.findings("MOBILE_UX", audit.at_home(audit.mobile, _pages(spark, d)))
     b = f.select(F.col("site_id").cast("string").alias("subject"), F.lit("finding").alias("field"), F.col("code").alias("value"), F.lit("AUDIT").alias("method"), F.lit(0.9).alias("confidence"))
     return audit.evidence(a, b)

@@ -51,7 +51,7 @@ def lead_list_count(spark: SparkSession, d: str) -> DataFrame:
     return leads.page_counts(_listed(spark, d))
 
 
-@query("SELECT lead_id, score_no, scored_at, sales_opportunity FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY scored_at DESC NULLS LAST, score_no DESC) AS n FROM (SELECT DISTINCT lead_id, score_no, scored_at, sales_opportunity FROM scoring_result)) WHERE n = 1")
+@query("SELECT lead_id, score_no, scored_at, CASE WHEN NOT isnan(sales_opportunity) THEN sales_opportunity END AS sales_opportunity FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY scored_at DESC NULLS LAST, score_no DESC) AS n FROM (SELECT DISTINCT lead_id, score_no, scored_at, sales_opportunity FROM scoring_result)) WHERE n = 1")
 def latest_run(spark: SparkSession, d: str) -> DataFrame:
     return leads.latest_runs(table(spark, d, "scoring_result").select("lead_id", "score_no", "scored_at", "sales_opportunity")).drop("n")
 
@@ -172,3 +172,14 @@ def export_filter(spark: SparkSession, d: str) -> DataFrame:
     jobs = table(spark, d, "lead_row").groupBy("lead_id").agg(F.collect_set("discovery_source").alias("jobs"))
     rows = leads.export_filter(_current(spark, d).join(jobs, "lead_id"), job="csv_import", priority="WARM", floor=50)
     return leads.allowed_columns(rows, ["record_no", "lead_id", "sales_opportunity"])
+
+
+@query(f"WITH {CUR} SELECT record_no, business_name FROM cur ORDER BY business_name NULLS FIRST, record_no LIMIT 25")
+def lead_list_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """The first page by name, missing names first."""
+    return leads.lead_page(_current(spark, d), sort="name").select("record_no", "business_name")
+
+
+@query(f"WITH {CUR} SELECT record_no, website_health FROM cur ORDER BY website_health DESC NULLS LAST, record_no LIMIT 25")
+def lead_list_by_health(spark: SparkSession, d: str) -> DataFrame:
+    return leads.lead_page(_current(spark, d), sort="health").select("record_no", "website_health")

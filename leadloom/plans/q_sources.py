@@ -147,3 +147,81 @@ def sitemap_locations(spark: SparkSession, d: str) -> DataFrame:
     return pages.sitemap_locations(body)
 
 
+
+
+_LINKED = f"""m AS (SELECT DISTINCT record_no, name, href, place_id, address_hint, category_hint, phone, website, query_text FROM maps_listing),
+  sig AS (SELECT record_no, CASE WHEN phone IS NULL THEN [] WHEN record_no % 3 = 0 THEN ['tel:', 'tel:' || phone || '?x=1'] ELSE [] END AS tels, CASE WHEN phone IS NULL THEN [] ELSE ['Open now', 'Phone: ' || phone] END AS labels, phone, website,
+    CASE WHEN website IS NULL THEN NULL WHEN record_no % 2 = 0 THEN ['https://www.facebook.com/x', 'https://www.google.com/url?q=' || url_encode(website) || '&sa=U'] ELSE ['https://maps.google.com/y', website] END AS links FROM m)"""
+_UNWRAP = "CASE WHEN regexp_matches(x, '^https?://(www\\.)?google\\.com/url\\?') THEN url_decode(regexp_extract(x, '[?&]q=([^&#]+)', 1)) ELSE x END"
+_OWN = f"list_filter(list_transform(coalesce(links, []), lambda x: {_UNWRAP}), lambda y: starts_with(y, 'http') AND NOT {D.is_aggregator(D.host('y'))} AND NOT regexp_matches({D.host('y')}, 'google\\.|gstatic\\.com|googleusercontent\\.com|^g\\.page$|\\.google$'))"
+
+
+@query(
+    f"""WITH {_LINKED} SELECT record_no, CASE WHEN record_no % 3 = 0 THEN trim(regexp_extract(tels[2], '^tel:([^?#]+)', 1)) ELSE nullif(trim(regexp_replace(regexp_extract(labels[2], '(?i)(?:phone|call|mobile)[:\\s]+([+\\d][\\d\\s().-]{{7,}})', 1), '\\s+', ' ', 'g')), '') END AS phone,
+    {_OWN}[1] AS website FROM sig"""
+)
+def place_details(spark: SparkSession, d: str) -> DataFrame:
+    """Phone and website of every listing, from tel links, labels and wrapped links composed of its own values."""
+    from leadloom.functions import urls
+
+    m = table(spark, d, "maps_listing").select("record_no", "phone", "website").distinct()
+    k, none = F.col("record_no"), F.array().cast("array<string>")
+    tels = F.when(F.col("phone").isNotNull() & (k % 3 == 0), F.array(F.lit("tel:"), F.concat(F.lit("tel:"), "phone", F.lit("?x=1")))).otherwise(none)
+    labels = F.when(F.col("phone").isNotNull(), F.array(F.lit("Open now"), F.concat(F.lit("Phone: "), "phone"))).otherwise(none)
+    wrapped = F.array(F.lit("https://www.facebook.com/x"), F.concat(F.lit("https://www.google.com/url?q="), F.url_encode("website"), F.lit("&sa=U")))
+    links = F.when(F.col("website").isNotNull(), F.when(k % 2 == 0, wrapped).otherwise(F.array(F.lit("https://maps.google.com/y"), "website")))
+    return m.select("record_no", urls.place_details(tels, labels, none, links).alias("p")).select("record_no", "p.phone", "p.website")
+
+
+_ID = "coalesce(nullif(place_id, ''), CASE WHEN regexp_extract(href, '(ChIJ[a-zA-Z0-9_-]+)', 1) <> '' THEN regexp_extract(href, '(ChIJ[a-zA-Z0-9_-]+)', 1) ELSE split_part(href, '?', 1) END)"
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT name, href, place_id, address_hint, category_hint, phone, website, query_text FROM maps_listing WHERE length(trim(name)) >= 2),
+    r AS (SELECT 'maps:' || {_ID} AS external_id, trim(name) AS name, nullif(category_hint, '') AS subcategory, phone, website, nullif(address_hint, '') AS line1, CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '/') THEN 'https://www.google.com' || href ELSE 'https://www.google.com/' || href END AS source_url, query_text FROM m),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_text, source_url ORDER BY external_id NULLS FIRST, name NULLS FIRST, subcategory NULLS FIRST, phone NULLS FIRST, website NULLS FIRST, line1 NULLS FIRST) AS k FROM r) SELECT * EXCLUDE (k) FROM n WHERE k = 1"""
+)
+def listing_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All captured listings as candidates."""
+    m = table(spark, d, "maps_listing").select("name", "href", "place_id", "address_hint", "category_hint", "phone", "website", "query_text").distinct()
+    return candidates.listing_candidates(m)
+
+
+@query("SELECT DISTINCT query_text, 'https://www.google.com/maps/search/' || url_encode(query_text) AS url FROM maps_listing WHERE query_text IS NOT NULL")
+def search_urls(spark: SparkSession, d: str) -> DataFrame:
+    from leadloom.functions import urls
+
+    return table(spark, d, "maps_listing").filter("query_text is not null").select("query_text", urls.search_url(F.col("query_text")).alias("url")).distinct()
+
+
+_HOSTS = "CASE record_no % 6 WHEN 0 THEN 'http://localhost/a' WHEN 1 THEN 'http://10.' || (record_no % 200) || '.0.1/' WHEN 2 THEN 'http://169.254.169.254/latest' WHEN 3 THEN website WHEN 4 THEN 'https://172.' || (record_no % 40) || '.1.1' ELSE 'shop.localhost' END"
+
+
+@query(
+    f"""WITH l AS (SELECT DISTINCT record_no, {_HOSTS} AS u FROM (SELECT DISTINCT record_no, website FROM lead_row)) SELECT record_no, coalesce(CASE record_no % 6 WHEN 3 THEN {D.url_key('u')} IS NOT NULL WHEN 4 THEN record_no % 40 NOT BETWEEN 16 AND 31 ELSE false END, false) AS safe FROM l"""
+)
+def safe_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the leads' websites and of made-up inner addresses may be fetched."""
+    from leadloom.functions import urls
+
+    l = table(spark, d, "lead_row").select("record_no", "website").distinct().withColumn("u", F.expr(
+        "CASE record_no % 6 WHEN 0 THEN 'http://localhost/a' WHEN 1 THEN concat('http://10.', record_no % 200, '.0.1/') WHEN 2 THEN 'http://169.254.169.254/latest' WHEN 3 THEN website WHEN 4 THEN concat('https://172.', record_no % 40, '.1.1') ELSE 'shop.localhost' END"))
+    return l.select("record_no", urls.is_safe_url(F.col("u")).alias("safe"))
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT {D.url_key('url')} AS st FROM (SELECT 'https://' || site_domain AS url FROM crawl_page WHERE site_domain IS NOT NULL)), o AS (SELECT st, {D.domain('st')} AS domain, regexp_extract(st, '^(https?://[^/?#]+)', 1) AS origin FROM s WHERE st IS NOT NULL),
+    sm AS (SELECT site_domain AS id, url AS loc, row_number() OVER (PARTITION BY site_domain ORDER BY page_no) AS place FROM (SELECT DISTINCT page_no, site_domain, url FROM crawl_page WHERE site_domain IS NOT NULL)),
+    e AS (SELECT st AS url, 0 AS seq FROM o UNION ALL SELECT origin || p, i FROM o, (VALUES {', '.join(f"({i + 1}, {D.q(p)})" for i, p in enumerate(K.PRIORITY_PATHS))}) AS v(i, p)
+      UNION ALL SELECT loc, place + 100 FROM sm JOIN o ON o.domain = sm.id WHERE place <= 20 AND {D.domain('loc')} = o.domain UNION ALL SELECT final_url, 1000 FROM crawl_page JOIN (SELECT DISTINCT domain FROM o) q ON q.domain = {D.domain('final_url')}),
+    u AS (SELECT {_URL} AS url, min(seq) AS seq FROM e GROUP BY 1), k AS (SELECT {D.domain('url')} AS domain, url, {D.path_priority('url')} AS priority, seq FROM u WHERE url IS NOT NULL),
+    r AS (SELECT domain, url, priority, row_number() OVER (PARTITION BY domain ORDER BY priority, seq, url) AS place FROM k) SELECT * FROM r WHERE place <= {K.MAX_PAGES}"""
+)
+def crawl_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Start page, priority paths, sitemap locations and known links of every captured site, the first to fetch."""
+    c = table(spark, d, "crawl_page").filter("site_domain is not null").select("page_no", "site_domain", "url").distinct()
+    sites = c.select(F.concat(F.lit("https://"), "site_domain").alias("url")).distinct()
+    body = c.groupBy(F.col("site_domain").alias("id")).agg(F.sort_array(F.collect_list(F.struct("page_no", "url"))).alias("u"))
+    body = body.select("id", F.array_join(F.transform("u", lambda x: F.concat(F.lit("<url><loc> "), x["url"], F.lit(" </loc></url>"))), "\n").alias("body"))
+    links = table(spark, d, "crawl_page").filter("final_url is not null").select(F.col("final_url").alias("url"))
+    return pages.crawl_plan(sites, pages.sitemap_locations(body), links)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.functions import text
+from leadloom.functions import text, urls
 
 
 def expand_queries(jobs: DataFrame) -> DataFrame:
@@ -81,7 +81,23 @@ def place_candidates(captured: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
-SOURCES: dict[str, Callable[..., DataFrame]] = {"mock": generated_candidates, "import": imported_candidates, "places": place_candidates}
+def listing_candidates(listings: DataFrame) -> DataFrame:
+    """Captured map listings as candidates: (name, href, place_id, address_hint, category_hint, phone, website, query_text).
+
+    The label gives name, category and address where the hints are missing; the place id comes from the link where it
+    is missing; a listing whose name has less than two letters is left out; of equal links of a search one row stays.
+    """
+    label = urls.parse_label(F.col("name"))
+    l = listings.filter(F.length(F.trim("name")) >= 2).withColumn("_l", label).withColumn("_id", F.coalesce(F.nullif("place_id", F.lit("")), urls.place_id(F.col("href"))))
+    rows = l.select(
+        F.concat(F.lit("maps:"), "_id").alias("external_id"), F.col("_l.name").alias("name"), F.coalesce(F.nullif("category_hint", F.lit("")), "_l.category_hint").alias("subcategory"), "phone", "website",
+        F.coalesce(F.nullif("address_hint", F.lit("")), "_l.address_hint").alias("line1"), urls.place_url(F.col("href")).alias("source_url"), "query_text",
+    )
+    best = rows.groupBy("query_text", "source_url").agg(F.min(F.struct("external_id", "name", "subcategory", "phone", "website", "line1")).alias("b"))
+    return best.select("b.*", "source_url", "query_text")
+
+
+SOURCES: dict[str, Callable[..., DataFrame]] = {"mock": generated_candidates, "import": imported_candidates, "places": place_candidates, "maps": listing_candidates}
 
 
 def source(name: str) -> Callable[..., DataFrame]:

@@ -78,13 +78,30 @@ def crawl_frontier(links: DataFrame, max_pages: int = K.MAX_PAGES) -> DataFrame:
     links: (url, seq). URLs that differ in a trailing slash only are one; the rank filter becomes a group limit,
     so a domain with many links sends max_pages rows at most per partition.
     """
-    u = F.regexp_replace(urls.url_key(F.col("url")), r"/$", "")
-    l = links.select(u.alias("url"), "seq").filter("url is not null").groupBy("url").agg(F.min("seq").alias("seq"))
+    u = F.regexp_replace(urls.url_key(F.col("url")), r"/$", "")  # exploded alone below, so that filters don't multiply its code
+    l = links.select(F.explode(F.array(u)).alias("url"), "seq").filter("url is not null").groupBy("url").agg(F.min("seq").alias("seq"))
     l = l.select(urls.domain(F.col("url")).alias("domain"), "url", urls.path_priority(F.col("url")).alias("priority"), "seq")
     w = Window.partitionBy("domain").orderBy("priority", "seq", "url")
     return l.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= max_pages).select("domain", "url", "priority", "place")
 
 
+def crawl_plan(sites: DataFrame, sitemaps: DataFrame, links: DataFrame, max_pages: int = K.MAX_PAGES, from_sitemap: int = 20) -> DataFrame:
+    """(domain, url, priority, place): what a crawl of each site (url) fetches, before any page is seen.
+
+    Its start page, the priority paths, at most from_sitemap same-domain locations (id is the domain, place, loc) and
+    the links (url) already known, in this order of sight; then crawl_frontier ranks them.
+    """
+    start = sites.select(F.explode(F.array(urls.url_key(F.col("url")))).alias("start")).filter("start is not null").distinct()
+    start = start.withColumn("domain", urls.domain(F.col("start"))).withColumn("origin", F.regexp_extract("start", r"^(https?://[^/?#]+)", 1))
+    own = start.select("domain", F.col("start").alias("url"), F.lit(0).alias("seq"))
+    paths = start.select("domain", F.posexplode(F.array(*[F.concat("origin", F.lit(p)) for p in K.PRIORITY_PATHS])).alias("seq", "url")).select("domain", "url", F.col("seq") + 1)
+    maps = sitemaps.filter(F.col("place") <= from_sitemap).select(F.col("id").alias("domain"), F.col("loc").alias("url"), (F.col("place") + 100).alias("seq"))
+    maps = maps.withColumn("_d", F.explode(F.array(urls.domain(F.col("url"))))).filter("_d = domain").drop("_d").join(start.select("domain").distinct(), "domain", "left_semi")
+    seen = links.select(F.explode(F.array(urls.domain(F.col("url")))).alias("domain"), "url", F.lit(1_000).alias("seq")).join(start.select("domain").distinct(), "domain", "left_semi")
+    every = own.unionByName(paths.toDF("domain", "url", "seq")).unionByName(maps).unionByName(seen)
+    return crawl_frontier(every.select("url", "seq"), max_pages)
+
+
 def robots_rules(bodies: DataFrame) -> DataFrame:
     """(id, allowed, sitemap) of captured robots files (id, body): is everything forbidden, and the first sitemap."""
     head = F.array_join(F.slice(F.split("body", "\n"), 1, 50), "\n")
