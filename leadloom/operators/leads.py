@@ -104,7 +104,7 @@ def withheld(flag: Column, c: Column) -> Column:
 
 
 def export_rows(leads: DataFrame, contacts: DataFrame, opted_out: Column | None = None) -> DataFrame:
-    """One safe row a lead record: figures, display contacts, address line; best opportunity first within the frame's order.
+    """One safe row a lead record: figures, display contacts, address line; unsorted (export.sheet sorts).
 
     opted_out is a condition on lead columns; phone and mail are then withheld, the chat number is not.
     """
@@ -137,8 +137,8 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str, kind: str = "parquet
 
 
 def run_metadata(name: str, df: DataFrame) -> DataFrame:
-    """(name, row_count, status) of an export."""
-    return df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("name"), "row_count", F.lit("COMPLETED").alias("status"))
+    """(name, row_count, status) of an export: FAILED where nothing was there to export."""
+    return df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("name"), "row_count", F.when(F.col("row_count") > 0, "COMPLETED").otherwise("FAILED").alias("status"))
 
 
 def allowed_columns(df: DataFrame, policy: list[str]) -> DataFrame:
