@@ -26,27 +26,33 @@ def _head_start(node: Column, level: int, beta: float) -> Column:
     return -F.log(unit) / beta
 
 
+def _parts(df: DataFrame, key: str) -> DataFrame:
+    """df, cut and hash partitioned by key into the session's number of shuffle partitions, so that joins on key needn't move it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartition(n, key))
+
+
 def _grow(arcs: DataFrame, level: int, beta: float, rounds: int) -> DataFrame:
     """(node, centre): the cluster that reaches each vertex first.
 
-    arcs holds both directions. A vertex's arrival time is the least of dist(u, node) - head_start(u); it is
-    relaxed along the arcs, one hop a round, until nothing changes or the rounds are used up. Any state is a
-    valid clustering (a centre is always connected to its members), so ending early costs levels, not truth.
+    arcs holds both directions, partitioned by src. A vertex's arrival time is the least of dist(u, node) -
+    head_start(u); it is relaxed along the arcs, one hop a round, until nothing changes or the rounds are used up. Only
+    vertices whose arrival changed in the last round send again, and offers are reduced to the best one before they
+    move; arcs and states stay where they are. Any state is a valid clustering (a centre is always connected to its
+    members), so ending early costs levels, not truth.
     """
-    state = arcs.select(F.col("src").alias("node")).distinct().select(
-        "node", (-_head_start(F.col("node"), level, beta)).alias("at"), F.col("node").alias("centre")
-    )
+    nodes = arcs.select(F.col("src").alias("node")).distinct()
+    state = _parts(nodes.select("node", (-_head_start(F.col("node"), level, beta)).alias("at"), F.col("node").alias("centre"), F.lit(True).alias("moved")), "node")
     for _ in range(rounds):
-        reached = arcs.join(state, arcs.src == state.node).select(
-            F.col("dst").alias("node"), (F.col("at") + 1).alias("at"), "centre", F.lit(True).alias("moved")
+        offers = arcs.join(state.filter("moved").select(F.col("node").alias("src"), "at", "centre"), "src").groupBy(F.col("dst").alias("node")).agg(
+            F.min(F.struct((F.col("at") + 1).alias("at"), "centre")).alias("offer")
         )
-        both = reached.unionByName(state.select("node", "at", "centre", F.lit(False).alias("moved")))
-        state = cut(
-            both.groupBy("node")
-            .agg(F.min(F.struct("at", "centre", "moved")).alias("best"))
-            .select("node", "best.at", "best.centre", "best.moved")
+        better = F.col("offer").isNotNull() & (F.col("offer") < F.struct("at", "centre"))
+        new = state.join(offers, "node", "left").select(
+            "node", F.when(better, F.col("offer.at")).otherwise(F.col("at")).alias("at"), F.when(better, F.col("offer.centre")).otherwise(F.col("centre")).alias("centre"), better.alias("moved")
         )
-        if not state.filter("moved").limit(1).count():
+        state = cut(new)
+        if state.filter("moved").isEmpty():
             break
     return state.select("node", "centre")
 
@@ -73,7 +79,7 @@ def connected_groups(
     level = 0
     while edges.limit(1).count():
         arcs = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        arcs = arcs.select(F.col("e.a").alias("src"), F.col("e.b").alias("dst"))
+        arcs = _parts(arcs.select(F.col("e.a").alias("src"), F.col("e.b").alias("dst")), "src")
         grown = _grow(arcs, level, beta, rounds)
         # a super-vertex is named by its smallest member, so the last name is the smallest of the whole group
         least = grown.groupBy("centre").agg(F.min("node").alias("name"))
