@@ -67,23 +67,24 @@ def connected_groups(
     No group is ever gathered in one task: a cluster is known only as one (node, name) row per member.
     """
     pairs = links.select(F.col(left).alias("a"), F.col(right).alias("b"))
-    nodes = (
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
-    )
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
+    seed = 0
+    while True:  # vertices travel as 64-bit hashes; should two ids ever share one, another seed is taken
+        ids = cut(ids.select("id", F.xxhash64("id", F.lit(seed)).alias("node")))
+        if ids.groupBy("node").count().filter("count > 1").isEmpty():
+            break
+        seed += 1
+    h = lambda c: F.xxhash64(c, F.lit(seed))
     edges = cut(
-        pairs.filter("a is not null and b is not null and a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        pairs.filter("a is not null and b is not null and a <> b").select(h("a").alias("a"), h("b").alias("b"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     names: list[DataFrame] = []
     level = 0
-    while edges.limit(1).count():
+    while not edges.isEmpty():
         arcs = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         arcs = _parts(arcs.select(F.col("e.a").alias("src"), F.col("e.b").alias("dst")), "src")
-        grown = _grow(arcs, level, beta, rounds)
-        # a super-vertex is named by its smallest member, so the last name is the smallest of the whole group
-        least = grown.groupBy("centre").agg(F.min("node").alias("name"))
-        named = cut(grown.join(least, "centre").select("node", "name"))
+        named = _grow(arcs, level, beta, rounds).toDF("node", "name")
         names.append(named)
         na, nb = named.toDF("a", "na"), named.toDF("b", "nb")
         edges = cut(
@@ -94,10 +95,12 @@ def connected_groups(
         level += 1
 
     def compose(so_far: DataFrame, step: DataFrame) -> DataFrame:
-        s = step.toDF("group_id", "next")
-        return so_far.join(s, "group_id", "left").select("node", F.coalesce("next", "group_id").alias("group_id"))
+        s = step.toDF("top", "next")
+        return so_far.join(s, "top", "left").select("id", F.coalesce("next", "top").alias("top"))
 
-    return reduce(compose, names, nodes.select("node", F.col("node").alias("group_id")))
+    grouped = cut(reduce(compose, names, ids.select("id", F.col("node").alias("top"))))
+    least = grouped.groupBy("top").agg(F.min("id").alias("group_id"))
+    return grouped.join(least, "top").select(F.col("id").alias("node"), "group_id")
 
 
 def match_groups(matches: DataFrame, threshold: float = 0.82) -> DataFrame:
