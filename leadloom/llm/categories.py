@@ -71,7 +71,15 @@ OTHER_NAMES = {
 # Words that say nothing about the trade.
 FILLERS = ("best", "top", "cheap", "near", "me", "services", "more", "open", "now", "category", "in", "the", "and", "of", "a", "de", "s")
 SIMILAR = 0.75
-LEARN_ROWS, LEARN_SHARE, NOISE_ROWS, NOISE_SHARE = 3, 0.9, 8, 0.5
+# A value is another name of the category that LEARN_SHARE of its searches are for, and means nothing in particular
+# where no category has NOISE_SHARE of them; both must be sure to Z standard errors, however many rows there are.
+LEARN_SHARE, NOISE_SHARE, Z = 0.9, 0.5, 1.64
+
+
+def share_bound(k: Column, n: Column, side: int) -> Column:
+    """Lower (-1) or upper (1) bound of the share k of n, by Wilson's score interval."""
+    p = k / n
+    return (p + Z * Z / (2 * n) + side * Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
 
 
 def value_tokens(c: Column) -> Column:
@@ -89,10 +97,10 @@ def value_tokens(c: Column) -> Column:
     return F.filter(words, lambda w: (w != "") & (w != "."))
 
 
-def _entries(spark: SparkSession, ref: DataFrame) -> DataFrame:
+def _entries(spark: SparkSession, ref: DataFrame, other_names: dict[str, str]) -> DataFrame:
     """(category_id, phrase): canonical names and their other names, for the categories that ref has."""
-    rows = [(k, p.strip()) for k, v in OTHER_NAMES.items() for p in v.split(";")]
-    other = spark.createDataFrame(rows, "category_name string, phrase string")
+    rows = [(k, p.strip()) for k, v in other_names.items() for p in v.split(";")]
+    other = spark.createDataFrame(rows, "category_name string, phrase string")  # a parameter
     names = ref.select("category_id", "category_name")
     return names.select("category_id", F.col("category_name").alias("phrase")).unionByName(
         names.join(F.broadcast(other), "category_name").select("category_id", "phrase")
@@ -153,11 +161,12 @@ def rank_entries(phrases: DataFrame, entries: DataFrame) -> DataFrame:
     return ranked.groupBy("key").agg(F.min(F.struct((-F.col("sim")).alias("m"), "category_id")).alias("b")).select("key", "b.category_id", (-F.col("b.m")).alias("sim"))
 
 
-def map_categories(listings: DataFrame, leads: DataFrame, ref: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def map_categories(listings: DataFrame, leads: DataFrame, ref: DataFrame, similar: float = SIMILAR, other_names: dict[str, str] | None = None) -> DataFrame:
     """(table_name, record_no, category_id) for every record with a value; 0 where no entry fits.
 
     Null and blank values give no row, values without any letter or digit give 0, repeated rows one row.
-    Work is done once per distinct value, however many rows hold it.
+    Work is done once per distinct value, however many rows hold it. other_names: names of the reference list's entries
+    separated by semicolons; by default OTHER_NAMES, {} for none, so that only the listings teach further names.
     """
     spark = ref.sparkSession
     search = F.lower(F.regexp_extract("query_text", r"^(.*?) in ", 1))
@@ -167,17 +176,17 @@ def map_categories(listings: DataFrame, leads: DataFrame, ref: DataFrame, simila
     rows = rows.filter(F.col("value").rlike(r"[^\s\p{Z}]")).distinct().withColumn("tokens", value_tokens(F.col("value")))
     rows = cut(rows.select("table_name", "record_no", "search", "tokens", F.array_join("tokens", " ").alias("key")))
     phrases = cut(rows.filter("key <> ''").select("key", "tokens").distinct())
-    base = _entries(spark, ref).select("category_id", value_tokens(F.col("phrase")).alias("tokens"))
+    base = _entries(spark, ref, OTHER_NAMES if other_names is None else other_names).select("category_id", value_tokens(F.col("phrase")).alias("tokens"))
     first = cut(rank_entries(phrases, base))
 
     searched = small(ref.select(F.lower("category_name").alias("search"), F.col("category_id").alias("for_id")))
     usage = rows.filter("key <> ''").join(searched, "search").groupBy("key", "for_id").agg(F.count("*").alias("n"))
     usage = usage.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "for_id")).alias("top"))
-    usage = usage.select("key", "n", F.col("top.for_id").alias("for_id"), (F.col("top.n") / F.col("n")).alias("share"))
+    usage = usage.select("key", "n", F.col("top.for_id").alias("for_id"), F.col("top.n").alias("k"))
     known = usage.join(first, "key", "left")
     settled = F.coalesce(F.col("sim"), F.lit(0.0)) >= similar
-    names = (F.col("n") >= LEARN_ROWS) & (F.col("share") >= LEARN_SHARE) & ~(settled & (F.col("category_id") == F.col("for_id")))
-    noise = (F.col("n") >= NOISE_ROWS) & (F.col("share") <= NOISE_SHARE) & (F.coalesce(F.col("sim"), F.lit(0.0)) < 1.0)
+    names = (F.col("k") / F.col("n") >= LEARN_SHARE) & (share_bound(F.col("k"), F.col("n"), -1) >= 0.5) & ~(settled & (F.col("category_id") == F.col("for_id")))
+    noise = (share_bound(F.col("k"), F.col("n"), 1) <= NOISE_SHARE) & (F.coalesce(F.col("sim"), F.lit(0.0)) < 1.0)
     learned = known.filter(names | noise).select(F.when(names, F.col("for_id")).otherwise(0).alias("category_id"), "key").join(phrases, "key").select("category_id", "tokens")
     open_ = phrases.join(first.filter("sim = 1.0"), "key", "left_anti")
     second = rank_entries(open_, cut(learned))

@@ -82,6 +82,15 @@ def test_learned_names_and_noise(spark):
     assert {got[i] for i in range(5)} == {1} and {got[10 + i] for i in range(12)} == {0} and got[50] == 1
 
 
+def test_categories_without_a_list_of_other_names(spark):
+    """The listings' own searches teach the names that no list gives; one careless search more doesn't matter."""
+    ref = spark.createDataFrame([(1, "Bakery", "F"), (2, "Plumber", "T")], "category_id int, category_name string, vertical string")
+    rows = [(i, None, "bakery in A, L", "Panadería") for i in range(12)] + [(20, None, "plumber in A, L", "Panaderia")] + [(30 + i, None, "plumber in A, L", "Fontanero") for i in range(2)]
+    got = lambda names: {r["record_no"]: r["category_id"] for r in categories.map_categories(spark.createDataFrame(rows, MAPS), leads(spark).limit(0), ref, other_names=names).collect()}
+    taught, listed = got({}), got(None)
+    assert {taught[i] for i in (*range(12), 20)} == {1} and taught[30] == 0 and listed[30] == 2
+
+
 def test_match_entities(spark):
     a = ("12 Teal Street", "North Quay", "Millford", "410107", "Land")
     b = ("14 Teal Street", "North Quay", "Millford", "410107", "Land")
