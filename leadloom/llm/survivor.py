@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.session import cut, small
+from leadloom.session import cut, saved, small
 
 WITHHELD = "[DO_NOT_CONTACT]"
 
@@ -116,9 +116,16 @@ def contact_truth(contacts: DataFrame, trust: DataFrame) -> DataFrame:
     rows = cut(_prepared(contacts, trust).drop("trust_rank").distinct())
     groups = rows.groupBy("lead_id", "contact_type", "key").agg(F.min("row_no").alias("group_no"), F.max("row_no").alias("last_no")).filter("group_no < last_no")
     held = rows.join(groups, ["lead_id", "contact_type", "key"])
-    claims = held.select(
-        F.col("group_no").alias("item"), F.col("src").alias("source"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in FIELDS])).alias("c"),
-    ).select("item", "source", "c.field", "c.value")
-    taken, _ = truth_discovery(claims)
-    return taken.select(F.col("item").alias("group_no"), F.col("field").alias("field_name"), "value", F.round("support", 6).alias("support"))
+    claims = saved(
+        held.select(
+            F.col("group_no").alias("item"), F.col("src").alias("source"),
+            F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("field"), F.col(f).cast("string").alias("value")) for k, f in enumerate(FIELDS)])).alias("c"),
+        ).select("item", "source", "c.field", "c.value").filter("value is not null")
+    )
+    # the rounds move 64-bit hashes; values are put back at the end, of equal hashes in one field the smallest
+    hashed = claims.select("item", "source", "field", F.xxhash64("value").alias("value"))
+    taken, _ = truth_discovery(hashed)
+    values = claims.groupBy("item", "field", F.xxhash64("value").alias("h")).agg(F.min("value").alias("text"))
+    name = F.element_at(F.array(*[F.lit(f) for f in FIELDS]), (F.col("field") + 1).cast("int"))
+    won = taken.withColumnRenamed("value", "h").join(values, ["item", "field", "h"])
+    return won.select(F.col("item").alias("group_no"), name.alias("field_name"), F.col("text").alias("value"), F.round("support", 6).alias("support"))
