@@ -145,23 +145,35 @@ def scored(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return j.select("l", "r", "lp", "rp", theta.alias("theta"))
 
 
-def believe(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-3) -> DataFrame:
+#: Pairs below this log-odds can't become a match, since messages only lower it; in the loop they are only told as mass.
+HOPELESS = -5.0
+
+
+def believe(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-3, hopeless: float = HOPELESS) -> DataFrame:
     """(l, r, lp, rp, probability): marginals of pairs (l, r, lp, rp, theta) under one-to-one factors.
 
     A record takes part in one factor for each other provider: at most one of its pairs there is true. The
-    factor's message to a pair is -log(1 + sum of the odds of its other pairs). Pairs without a rival need no
-    message and stay out of the loop; an empty table gives an empty result. The loop runs until no message moves
-    by tolerance; rounds only guards against an endless one, and reaching it is an error.
+    factor's message to a pair is -log(1 + sum of the odds of its other pairs). Pairs below hopeless send the same odds
+    in every round, those of their own evidence, as one sum a factor, and keep that evidence's probability; pairs
+    without a rival need no message; both stay out of the loop. An empty table gives an empty result. The loop runs
+    until no message moves by tolerance; rounds only guards against an endless one, and reaching it is an error.
     """
     left, right = Window.partitionBy("l", "rp"), Window.partitionBy("r", "lp")
-    all_ = cut(pairs.withColumn("rivals", F.count("*").over(left) + F.count("*").over(right) - 2))
-    state = cut(all_.filter("rivals > 0").select("l", "r", "lp", "rp", "theta", F.lit(0.0).alias("ml"), F.lit(0.0).alias("mr")))
+    marginal = lambda x: 1 / (1 + F.exp(-x))
+    live, lost = pairs.filter(F.col("theta") >= hopeless), pairs.filter(F.col("theta") < hopeless)
+    mass = lambda a, b, name: lost.groupBy(a, b).agg(F.sum(F.exp("theta")).alias(name))
+    known = live.join(mass("l", "rp", "cl"), ["l", "rp"], "left").join(mass("r", "lp", "cr"), ["r", "lp"], "left").select(
+        "l", "r", "lp", "rp", "theta", F.coalesce("cl", F.lit(0.0)).alias("cl"), F.coalesce("cr", F.lit(0.0)).alias("cr")
+    )
+    all_ = cut(known.withColumn("rivals", F.count("*").over(left) + F.count("*").over(right) - 2))
+    state = cut(all_.filter("rivals > 0").select("l", "r", "lp", "rp", "theta", "cl", "cr", F.lit(0.0).alias("ml"), F.lit(0.0).alias("mr")))
     odds = lambda m: F.exp(F.least(F.col("theta") + F.col(m), F.lit(40.0)))
     for _ in range(0 if state.isEmpty() else rounds):
         s = state.withColumn("ol", odds("mr")).withColumn("or", odds("ml"))
-        s = s.withColumn("nl", -F.log1p(F.greatest(F.sum("ol").over(left) - F.col("ol"), F.lit(0.0)))).withColumn("nr", -F.log1p(F.greatest(F.sum("or").over(right) - F.col("or"), F.lit(0.0))))
+        others = lambda o, w, c: -F.log1p(F.greatest(F.sum(o).over(w) - F.col(o), F.lit(0.0)) + F.col(c))
+        s = s.withColumn("nl", others("ol", left, "cl")).withColumn("nr", others("or", right, "cr"))
         damped = lambda new, old: 0.7 * F.col(new) + 0.3 * F.col(old)
-        s = s.select("l", "r", "lp", "rp", "theta", damped("nl", "ml").alias("ml"), damped("nr", "mr").alias("mr"),
+        s = s.select("l", "r", "lp", "rp", "theta", "cl", "cr", damped("nl", "ml").alias("ml"), damped("nr", "mr").alias("mr"),
                      F.greatest(F.abs(F.col("nl") - F.col("ml")), F.abs(F.col("nr") - F.col("mr"))).alias("d"))
         s = cut(s)
         moved = s.agg(F.max("d")).first()[0]
@@ -171,9 +183,9 @@ def believe(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-3) -> Da
     else:
         if not state.isEmpty():
             raise RuntimeError(f"beliefs haven't settled within {rounds} rounds: a message still moves by {moved}")
-    marginal = lambda x: 1 / (1 + F.exp(-x))
-    alone = all_.filter("rivals = 0").select("l", "r", "lp", "rp", marginal(F.col("theta")).alias("probability"))
-    return alone.unionByName(state.select("l", "r", "lp", "rp", marginal(F.col("theta") + F.col("ml") + F.col("mr")).alias("probability")))
+    alone = all_.filter("rivals = 0").select("l", "r", "lp", "rp", marginal(F.col("theta") - F.log1p("cl") - F.log1p("cr")).alias("probability"))
+    sure = lost.select("l", "r", "lp", "rp", marginal(F.col("theta")).alias("probability"))
+    return alone.unionByName(state.select("l", "r", "lp", "rp", marginal(F.col("theta") + F.col("ml") + F.col("mr")).alias("probability"))).unionByName(sure)
 
 
 def match_entities(entities: DataFrame, leads: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -184,7 +196,7 @@ def match_entities(entities: DataFrame, leads: DataFrame, threshold: float = 0.5
     match nothing; repeats count once.
     """
     records = cut(prepared(entities, leads))
-    marginals = cut(believe(scored(candidates(records), records)).filter(F.col("probability") >= threshold))
+    marginals = cut(believe(cut(scored(candidates(records), records))).filter(F.col("probability") >= threshold))
     groups = _closed_groups(marginals)
     direct = marginals.select(F.col("l").alias("left_no"), F.col("r").alias("right_no"), F.col("probability").alias("confidence"))
     provider = marginals.select(F.explode(F.array(F.struct(F.col("l").alias("node"), F.col("lp").alias("p")), F.struct(F.col("r").alias("node"), F.col("rp").alias("p")))).alias("x")).select("x.node", "x.p").distinct()

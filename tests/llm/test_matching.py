@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from leadloom.llm import addresses, categories, linkage, postal
@@ -161,3 +163,13 @@ def test_beliefs_settle_on_long_rival_chains(spark):
         assert abs(got[l, r] - math.exp(theta) * z[i] * z[n - 1 - i] / z[n + 1]) < 0.005
     with pytest.raises(RuntimeError):
         linkage.believe(df, rounds=2)
+
+
+def test_hopeless_pairs_count_as_mass(spark):
+    """Outside the loop they change no verdict and no probability by more than their own odds."""
+    rng = random.Random(8)
+    rows = [(i, 100 + rng.randrange(30), "p1", "p2", rng.choice([-9.0, -7.0, -6.0, -1.0, 0.5, 2.0, 6.0])) for i in range(30) for _ in range(5)]
+    df = spark.createDataFrame(sorted({(l, r): (l, r, a, b, t) for l, r, a, b, t in rows}.values()), "l long, r long, lp string, rp string, theta double")
+    got, want = ({(x["l"], x["r"]): x["probability"] for x in linkage.believe(df, hopeless=h).collect()} for h in (linkage.HOPELESS, -1e9))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.01 for k in want)
+    assert {k for k in got if got[k] >= 0.5} == {k for k in want if want[k] >= 0.5}
