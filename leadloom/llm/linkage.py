@@ -142,7 +142,7 @@ def scored(pairs: DataFrame, records: DataFrame) -> DataFrame:
         F.lit(w["prior"]) + F.when(name_likeness(F.col("lws"), F.col("rws")) >= NAME_ALIKE, w["name"]).otherwise(w["other_name"])
         + judge("lph", "rph", w["phone"], w["other_phone"]) + place + judge("lw", "rw", w["web"], w["other_web"])
     )
-    return j.select("l", "r", "lp", "rp", theta.alias("theta"))
+    return cut(j.select("l", "r", "lp", "rp", theta.alias("theta")))  # read several times
 
 
 #: Pairs below this log-odds can't become a match, since messages only lower it; in the loop they are only told as mass.
@@ -196,7 +196,7 @@ def match_entities(entities: DataFrame, leads: DataFrame, threshold: float = 0.5
     match nothing; repeats count once.
     """
     records = cut(prepared(entities, leads))
-    marginals = cut(believe(cut(scored(candidates(records), records))).filter(F.col("probability") >= threshold))
+    marginals = cut(believe(scored(candidates(records), records)).filter(F.col("probability") >= threshold))
     groups = _closed_groups(marginals)
     direct = marginals.select(F.col("l").alias("left_no"), F.col("r").alias("right_no"), F.col("probability").alias("confidence"))
     provider = marginals.select(F.explode(F.array(F.struct(F.col("l").alias("node"), F.col("lp").alias("p")), F.struct(F.col("r").alias("node"), F.col("rp").alias("p")))).alias("x")).select("x.node", "x.p").distinct()
