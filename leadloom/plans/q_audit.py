@@ -31,7 +31,7 @@ rx = lambda p: f"regexp_matches(html, {D.q(p)})"
 _SEO = f"""seo0 AS (SELECT site_id, {n("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) <> ''")} AS title, {n(rx(r'''(?i)<meta\s[^>]*name=["']description["'][^>]*content=["']\s*[^"'\s]'''))} AS description,
   len(regexp_extract_all(html, '(?i)<h1\\b')) AS nh, {n(rx(r'''(?i)<link\s[^>]*rel=["']canonical["'][^>]*href=["'][^"']'''))} AS canonical, {n(rx(r'''(?i)<meta\s[^>]*name=["']viewport["'][^>]*content=["'][^"']'''))} AS viewport,
   {n(rx(r'''(?i)<meta\s[^>]*(property=["']og:(title|description)["']|name=["']twitter:card["'])'''))} AS social, {n(rx(r'(?i)application/ld\+json'))} AS structured, regexp_extract_all(html, '(?i)<img\\b[^>]*>') AS imgs,
-  length({D.squeeze(D.sub("regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1)", '<[^>]+>', ' '))}) AS nt, {n(rx(r'(?i)<link\s[^>]*hreflang='))} AS hreflang, coalesce(json_array_length(regexp_extract(html, '(?is)<script type="application/ld\\+json">(.*?)</script>', 1), '$."@type"'), 0)::INTEGER AS ld_types FROM home),
+  length({D.squeeze(D.sub("regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1)", '<[^>]+>', ' '))}) AS nt, {n(rx(r'(?i)<link\s[^>]*hreflang='))} AS hreflang, coalesce(json_array_length(nullif(regexp_extract(html, '(?is)<script type="application/ld\\+json">(.*?)</script>', 1), ''), '$."@type"'), 0)::INTEGER AS ld_types FROM home),
   seo1 AS (SELECT site_id, title, description, CASE WHEN nh = 1 THEN 1.0 WHEN nh > 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS h1, canonical, viewport, social, structured,
     CASE WHEN len(imgs) > 0 THEN len(list_filter(imgs, lambda t: regexp_matches(t, {D.q(r'''(?i)\balt=["'][^"']*\S[^"']*["']''')}))) / len(imgs)::DOUBLE ELSE 1.0 END AS alt_coverage, {n('nt > 0 AND nt < 200')} AS thin, hreflang, 0.0::DOUBLE AS sitemap, 1.0::DOUBLE AS robots, ld_types FROM seo0),
   seo AS (SELECT *, (title + description + {n('h1 = 1')} + canonical + viewport + social + structured + (CASE WHEN alt_coverage >= 0.7 THEN 1.0 ELSE alt_coverage * 0.7::DOUBLE END) + 1 - thin + sitemap + robots) / 11.0::DOUBLE * 100 AS score, (title + description + {n('h1 = 1')} + 1 - thin) / 4 * 100 AS content_score FROM seo1)"""
@@ -197,3 +197,38 @@ def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
     f = audit.findings("MOBILE_UX", audit.at_home(audit.mobile, _pages(spark, d)))
     b = f.select(F.col("site_id").cast("string").alias("subject"), F.lit("finding").alias("field"), F.col("code").alias("value"), F.lit("AUDIT").alias("method"), F.lit(0.9).alias("confidence"))
     return audit.evidence(a, b)
+
+
+# the same modules over the captured pages themselves
+_CAPTURED = f"""WITH al AS (SELECT DISTINCT site_domain AS site_id, page_no AS seq, coalesce(final_url, url) AS url, html_snippet AS html FROM crawl_page WHERE site_domain IS NOT NULL AND html_snippet IS NOT NULL),
+  home AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY CASE WHEN {D.path('url')} = '/' THEN 0 ELSE 1 END, seq) AS k FROM al) WHERE k = 1)"""
+
+
+def _captured(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "crawl_page").filter("site_domain is not null and html_snippet is not null")
+    return c.select(F.col("site_domain").alias("site_id"), F.col("page_no").alias("seq"), F.coalesce("final_url", "url").alias("url"), F.col("html_snippet").alias("html")).distinct()
+
+
+@query(f"{_CAPTURED}, {_SEO} SELECT * REPLACE (round(score, 6) AS score) FROM seo")
+def captured_seo(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(audit.at_home(audit.seo, _captured(spark, d)))
+
+
+@query(f"{_CAPTURED}, {_A11Y} SELECT * REPLACE (round(score, 6) AS score) FROM accessibility")
+def captured_a11y(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(audit.at_home(audit.accessibility, _captured(spark, d)))
+
+
+@query(f"{_CAPTURED}, {_MOB} SELECT * REPLACE (round(score, 6) AS score) FROM mobile")
+def captured_mobile(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(audit.at_home(audit.mobile, _captured(spark, d)))
+
+
+@query(f"{_CAPTURED}, {_CONV} SELECT * FROM conversion")
+def captured_conversion(spark: SparkSession, d: str) -> DataFrame:
+    return audit.conversion(_captured(spark, d))
+
+
+@query(f"{_CAPTURED} SELECT DISTINCT site_id, name, category, confidence FROM al, {_FP} WHERE regexp_matches(html, rx)")
+def captured_technologies(spark: SparkSession, d: str) -> DataFrame:
+    return audit.technologies(_captured(spark, d))

@@ -39,7 +39,7 @@ def contacts_text(spark: SparkSession, d: str) -> DataFrame:
 _H = lambda scheme: D.q(r"""(?i)<a\s[^>]*?href=["'](""" + scheme + r"""[^"']*)["']""")
 _CONTACT = f"regexp_matches({D.path('url')}, '{K.CONTACT_PATH}')"
 _BODY = D.visible_text("regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1)")
-EXTRACTED = f"""{PAGE_ROWS}, pp AS (SELECT business_id * 10 + seq AS page_id, url, html, {_CONTACT} AS cp, regexp_extract(html, '(?is)<footer.*$', 0) AS foot, {_BODY} AS body FROM page),
+_EXTRACT = f"""pp AS (SELECT business_id * 10 + seq AS page_id, url, html, {_CONTACT} AS cp, regexp_extract(html, '(?is)<footer.*$', 0) AS foot, {_BODY} AS body FROM page),
   raw AS (
     SELECT page_id, url, cp, 'EMAIL' AS kind, 'MAILTO' AS method, unnest(regexp_extract_all(html, {_H('mailto:')}, 1)) AS raw, 1 AS seq, foot FROM pp
     UNION ALL SELECT page_id, url, cp, 'PHONE', 'TEL', unnest(regexp_extract_all(html, {_H('tel:')}, 1)), 2, foot FROM pp
@@ -56,6 +56,8 @@ EXTRACTED = f"""{PAGE_ROWS}, pp AS (SELECT business_id * 10 + seq AS page_id, ur
       WHEN 'PHONE' THEN least(1.0, (CASE WHEN method = 'TEL' THEN 0.25::DOUBLE ELSE 0 END) + (CASE WHEN cp THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN method = 'SCHEMA_ORG' THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN length(value) >= 11 THEN 0.2::DOUBLE ELSE 0 END))
       WHEN 'WHATSAPP' THEN CASE WHEN cp THEN 0.9 ELSE 0.75 END ELSE CASE WHEN cp THEN 0.8 ELSE 0.6 END END AS confidence FROM val WHERE value IS NOT NULL AND NOT (kind = 'EMAIL' AND {NOISE})),
   best AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind, value ORDER BY confidence DESC, seq) AS n FROM sc)"""
+EXTRACTED = f"{PAGE_ROWS}, {_EXTRACT}"
+_CAPTURED = "WITH page AS (SELECT DISTINCT page_no AS business_id, 0 AS seq, coalesce(final_url, url) AS url, html_snippet AS html FROM crawl_page WHERE html_snippet IS NOT NULL)"
 _STATUS = "CASE WHEN kind IN ('WHATSAPP', 'CONTACT_FORM') THEN 'LIKELY' WHEN confidence >= 0.85 THEN 'CONFIRMED' WHEN confidence >= 0.7 THEN 'LIKELY' ELSE 'UNVERIFIED' END"
 
 
@@ -98,3 +100,11 @@ def contact_upsert(spark: SparkSession, d: str) -> DataFrame:
     keys = ["lead_id", "contact_type", "v"]
     half = lambda n: contacts.best_rows(c.filter(F.col("row_no") % 2 == n), keys, "verified_at", "row_no")
     return contacts.upsert(half(0), half(1), keys, "verified_at").select(*keys, "row_no")
+
+
+@query(f"{_CAPTURED}, {_EXTRACT} SELECT page_id, url, kind, value, method, round(confidence, 9) AS confidence, {_STATUS} AS status FROM best WHERE n = 1")
+def captured_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Contacts in the source of all captured pages."""
+    c = table(spark, d, "crawl_page").filter("html_snippet is not null")
+    p = c.select((F.col("page_no") * 10).alias("page_id"), F.coalesce("final_url", "url").alias("url"), F.col("html_snippet").alias("html")).distinct()
+    return contacts.extract_contacts(p).withColumn("confidence", F.round("confidence", 9))

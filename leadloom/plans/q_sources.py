@@ -47,7 +47,7 @@ def fixture_pages(spark: SparkSession, d: str) -> DataFrame:
     return made_pages(spark, d).select("business_id", F.col("seq").cast("int").alias("seq"), "url", F.sha2("html", 256).alias("digest"), F.length("html").alias("size"))
 
 
-_SEARCHES = "(SELECT DISTINCT city, locality, category FROM lead_row WHERE city IS NOT NULL AND trim(category) <> '' AND regexp_matches(category, '^[A-Za-z ]+$'))"
+_SEARCHES = "(SELECT DISTINCT city, locality, category FROM lead_row WHERE city IS NOT NULL AND trim(category) <> '')"
 _SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 _TITLE = "array_to_string(list_transform(list_filter(string_split(regexp_replace({0}, '[\\s_-]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
@@ -62,8 +62,8 @@ _TITLE = "array_to_string(list_transform(list_filter(string_split(regexp_replace
     SELECT * EXCLUDE (i) FROM c UNION ALL SELECT external_id || ':dup', name || ' Clinic', * EXCLUDE (i, external_id, name) FROM c WHERE i = 0"""
 )
 def mock_source(spark: SparkSession, d: str) -> DataFrame:
-    """Generated candidates for every city, locality and plainly written category of the leads."""
-    s = table(spark, d, "lead_row").select("city", "locality", "category").filter("city is not null and trim(category) <> ''").filter(F.col("category").rlike("^[A-Za-z ]+$")).distinct()
+    """Generated candidates for every city, locality and category of the leads, as typed."""
+    s = table(spark, d, "lead_row").select("city", "locality", "category").filter("city is not null and trim(category) <> ''").distinct()
     return candidates.generated_candidates(s.withColumn("query_text", F.concat("category", F.lit(" "), "city")))
 
 
