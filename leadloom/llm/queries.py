@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from leadloom.session import cut, table
 
@@ -89,6 +90,69 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(p10_scored(spark, d))
 
 
+# Queries that hold the operators' whole results against what SQL can say of them.
+
+
+def p1_left(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the redacted texts, and how many still hold a plain mail address or a bare identity number."""
+    t = p1_redacted(spark, d)
+    return t.groupBy("field_name").agg(
+        F.countDistinct("row_no").alias("texts"), F.count_if(F.col("text").rlike(r"(?i)[a-z0-9]@[a-z0-9-]+(\.[a-z0-9-]+)*\.(example|test|com|org|net)\b")).alias("mails_left"),
+        F.count_if(F.col("text").rlike(r"(^|[^\w\-/#])[A-Z]{2}-[0-9]{2} [0-9]{11}($|[^\w\-/])")).alias("licences_left"),
+    )
+
+
+_PLAIN = r"^([0-9]+[A-Z]?) ([A-Z][a-z]+) (Street|Road|Lane|Avenue|Boulevard|Terrace|Crescent|Square), "
+
+
+def p3_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Of all pairs found, those of leads whose addresses are plainly and equally written in one locality."""
+    l = table(spark, d, "lead_row").filter(F.col("address").rlike(_PLAIN) & F.col("city").isNotNull() & F.col("locality").isNotNull())
+    k = l.select("record_no", "city", "locality", F.regexp_extract("address", _PLAIN + r"", 0).alias("k")).distinct()
+    a, b = k.toDF("left_no", "city", "locality", "k"), k.toDF("right_no", "city", "locality", "k")
+    return p3_found(spark, d).join(a, "left_no").join(b, ["right_no", "city", "locality", "k"]).select("left_no", "right_no")
+
+
+def p6_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Of all records mapped, those whose value is an entry's name but for letter case and outer blanks."""
+    rows = table(spark, d, "maps_listing").select(F.lit("maps_listing").alias("table_name"), "record_no", F.col("category_hint").alias("v")).unionByName(
+        table(spark, d, "lead_row").select(F.lit("lead_row").alias("table_name"), "record_no", F.col("category").alias("v")))
+    ref = table(spark, d, "category_ref").select(F.lower("category_name").alias("k"))
+    plain = rows.withColumn("k", F.lower(F.trim("v"))).join(ref, "k", "left_semi").select("table_name", "record_no").distinct()
+    return p6_found(spark, d).join(plain, ["table_name", "record_no"])
+
+
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What no result may hold: pairs inside a provider, pairs out of order, pairs of records that don't exist."""
+    e = table(spark, d, "entity_record").select("record_no", "provider_id").distinct()
+    p = p7_found(spark, d).join(e.toDF("left_no", "lp"), "left_no", "left").join(e.toDF("right_no", "rp"), "right_no", "left")
+    return p.agg(F.count_if(F.col("lp") == F.col("rp")).alias("inside"), F.count_if(F.col("left_no") >= F.col("right_no")).alias("disordered"), F.count_if(F.col("lp").isNull() | F.col("rp").isNull()).alias("unknown"))
+
+
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """By capacity: documents placed, those split though they fit, containers that hold too much, tokens lost or doubled."""
+    lengths, specs = cut(tokens.token_lengths(table(spark, d, "documents"))), table(spark, d, "container_spec")
+    packed = cut(packing.pack_documents(lengths, specs))
+    docs = packed.groupBy("spec_no", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("placed")).join(lengths.select("doc_id", "n_tokens"), "doc_id").join(specs, "spec_no")
+    by_doc = docs.groupBy("spec_no").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens"))).alias("split"), F.sum(F.abs(F.col("placed") - F.col("n_tokens"))).alias("tokens_off"))
+    boxes = packed.groupBy("spec_no", "container_no").agg(F.sum("n_tokens").alias("used")).join(specs, "spec_no").groupBy("spec_no").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"))
+    return by_doc.join(boxes, "spec_no").select("spec_no", "documents", "split", "tokens_off", "overfull")
+
+
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    """By named source: has it documents, is its share within a hundredth of the target among those that have, are repeats within the cap?"""
+    t = p9_shares(spark, d)
+    have = F.col("available_tokens") > 0
+    whole = F.sum(F.when(have, F.col("target_share"))).over(Window.partitionBy(F.lit(1)))  # a row a named source
+    want = F.when(have, F.col("target_share") / whole).otherwise(0.0)
+    return t.select("source", have.alias("has_documents"), (F.abs(F.col("reached_share") - want) < 0.01).alias("met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_cap"))
+
+
+def p10_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents scored by source, and those without text, which score -1."""
+    return p10_scored(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") == -1).alias("without_text"), F.count_if(F.col("harmful") & (F.col("score") < 0)).alias("wrong"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -109,4 +173,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_rates": p10_rates,
     "p10_scored": p10_scored,
+    "p1_left": p1_left,
+    "p3_plain": p3_plain,
+    "p6_plain": p6_plain,
+    "p7_checked": p7_checked,
+    "p8_checked": p8_checked,
+    "p9_checked": p9_checked,
+    "p10_covered": p10_covered,
 }

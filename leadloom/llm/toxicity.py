@@ -117,8 +117,9 @@ class Dictionary:
 
 
 def gain(ordinary: Dictionary, toxic: Dictionary, window: str) -> float:
-    a = ordinary.size(window)
-    return (a - toxic.size(window)) / (a + 8)
+    """How much shorter the window compresses with the toxic dictionary, over -1 and under 1."""
+    a, t = ordinary.size(window), toxic.size(window)
+    return (a - t) / max(a + 8, t)
 
 
 @dataclass
