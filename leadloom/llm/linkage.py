@@ -26,6 +26,7 @@ WEIGHTS = {
 }
 NAME_ALIKE = 0.8
 SHARED_WEB_NAMES = 12
+SHARED_PHONE_PLACES = 12
 
 def name_tokens(c: Column) -> Column:
     """Words of a business name without legal forms, remarks, town suffix and possessive endings."""
@@ -60,7 +61,8 @@ def prepared(entities: DataFrame, leads: DataFrame) -> DataFrame:
 
     A token weighs by the rarity of its root spelling, so a misspelt common word isn't taken for a rare name. The
     block keys are the two weightiest tokens and their roots. A web host used under more than
-    SHARED_WEB_NAMES different names is a directory and says nothing.
+    SHARED_WEB_NAMES different names is a directory and says nothing; so does a phone under more than
+    SHARED_PHONE_PLACES different names or in as many buildings, a switchboard or a made-up number.
     """
     once = entities.select("record_no", "provider_id", "name", "phone", "website").filter("record_no is not null").distinct()
     read = cut(one_reading(read_addresses(entity_texts(entities), places(leads))))
@@ -80,10 +82,12 @@ def prepared(entities: DataFrame, leads: DataFrame) -> DataFrame:
     known = roots.join(rarity, "root").select("t", "root", "w")
     weighted = words.join(known, "t").groupBy("record_no").agg(F.sort_array(F.collect_list(F.struct("w", "t", "root")), False).alias("ws"))
     webs = base.filter("web is not null").groupBy("web").agg(F.count_distinct(F.array_join("tokens", " ")).alias("names")).filter(F.col("names") > SHARED_WEB_NAMES).select("web", F.lit(True).alias("shared"))
-    full = base.drop("tokens").join(weighted, "record_no", "left").join(webs, "web", "left")
+    lines = base.filter("phone is not null").groupBy("phone").agg(F.count_distinct(F.array_join("tokens", " ")).alias("names"), F.count_distinct("building").alias("places"))
+    lines = lines.filter((F.col("names") > SHARED_PHONE_PLACES) | (F.col("places") > SHARED_PHONE_PLACES)).select("phone", F.lit(True).alias("switchboard"))
+    full = base.drop("tokens").join(weighted, "record_no", "left").join(webs, "web", "left").join(lines, "phone", "left")
     top = F.slice("ws", 1, 2)
     return full.select(
-        "record_no", "provider_id", "phone", F.when(F.col("shared").isNull(), F.col("web")).alias("web"), "building", "city",
+        "record_no", "provider_id", F.when(F.col("switchboard").isNull(), F.col("phone")).alias("phone"), F.when(F.col("shared").isNull(), F.col("web")).alias("web"), "building", "city",
         F.coalesce(F.transform("ws", lambda x: F.struct(x["w"].alias("w"), x["t"].alias("t"))), F.array().cast("array<struct<w:double,t:string>>")).alias("ws"),
         F.coalesce(F.array_distinct(F.concat(F.transform(top, lambda x: x["t"]), F.transform(top, lambda x: x["root"]))), F.array().cast("array<string>")).alias("keys"),
     )

@@ -173,3 +173,15 @@ def test_hopeless_pairs_count_as_mass(spark):
     got, want = ({(x["l"], x["r"]): x["probability"] for x in linkage.believe(df, hopeless=h).collect()} for h in (linkage.HOPELESS, -1e9))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.01 for k in want)
     assert {k for k in got if got[k] >= 0.5} == {k for k in want if want[k] >= 0.5}
+
+
+def test_a_phone_of_everybody_is_no_evidence(spark):
+    """A number under many names makes no pairs, however many records hold it; a business's own number still does."""
+    names = ["Alder", "Birch", "Cedar", "Dogwood", "Elm", "Fir", "Gorse", "Hazel", "Ivy", "Juniper", "Kapok", "Larch", "Maple", "Nutmeg"]
+    rows = [(i, f"p{i % 3}", f"{names[i % 14]} {names[(i * 5 + 3) % 14]} House", "555 000 1111", None, (f"{i + 1} Teal Street", "North Quay", "Millford", "410107", "Land")) for i in range(90)]
+    rows += [(900, "p0", "Corwin Bakery", "555 123 4567", None, None), (901, "p1", "Corwin Bakery", "555 123 4567", None, None)]
+    prepared = linkage.prepared(spark.createDataFrame(rows, ENT), leads(spark))
+    held = {r["record_no"]: r["phone"] for r in prepared.collect()}
+    assert all(held[i] is None for i in range(90)) and held[900] == held[901] == "5551234567"
+    got = {(r["l"], r["r"]) for r in linkage.candidates(prepared).collect()}
+    assert (900, 901) in got
