@@ -4,7 +4,7 @@ A pair scores MATCH_THRESHOLD without an exact signal only if no signal counts a
 a domain, nor both a phone (either alone brings the score under .6). What is left is names and addresses, where the
 threshold needs names at least NAME_FLOOR alike. Such names are found exactly: a name is cut into one segment more
 than it may have edits, so one segment at least survives in the other name, near its place (segment index over
-distinct names, longer names probing for shorter ones).
+distinct names, probed by the names of records without phone, since one side of a pair has none).
 """
 
 from __future__ import annotations
@@ -32,17 +32,23 @@ def _segment(length: Column, edits: Column, i: Column) -> tuple[Column, Column]:
     return (i * base + long).cast("int"), (base + F.when(i >= edits + 1 - extra, 1).otherwise(0)).cast("int")
 
 
-def alike_names(names: DataFrame, floor: float = NAME_FLOOR) -> DataFrame:
-    """(a, b), a < b: all pairs of different names of (name) whose similarity is floor at least; null and '' match none."""
+def alike_names(names: DataFrame, floor: float = NAME_FLOOR, probes: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: all pairs of different names of (name) whose similarity is floor at least; null and '' match none.
+
+    With probes (name), some of the names, only the pairs that one of them belongs to; they alone are cut into all the
+    pieces that could meet a segment, which is the costly side.
+    """
     n = names.select("name").filter("name <> ''").distinct().withColumn("len", F.length("name"))
     longest = F.floor(F.col("len") / floor + 1e-9)
     index = (
         n.withColumn("edits", F.explode(F.sequence(_edits(F.col("len"), floor), _edits(longest, floor)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
     )
     start, size = _segment(F.col("len"), F.col("edits"), F.col("i"))
-    index = index.select(F.col("name").alias("short"), F.col("len").alias("k"), "edits", "i", F.substring(F.col("name"), start + 1, size).alias("seg"))
+    index = index.select(F.col("name").alias("x"), F.col("len").alias("k"), "edits", "i", F.substring(F.col("name"), start + 1, size).alias("seg"))
+    few = n if probes is None else n.join(probes.select("name").distinct(), "name", "left_semi")
+    reach = F.col("len") if probes is None else F.floor(F.col("len") / floor + 1e-9).cast("int")
     probe = (
-        n.withColumn("edits", _edits(F.col("len"), floor)).withColumn("k", F.explode(F.sequence(F.ceil(F.col("len") * floor - 1e-9).cast("int"), F.col("len"))))
+        few.withColumn("k", F.explode(F.sequence(F.ceil(F.col("len") * floor - 1e-9).cast("int"), reach))).withColumn("edits", _edits(F.greatest("len", "k"), floor))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
     )
     start, size = _segment(F.col("k"), F.col("edits"), F.col("i"))
@@ -50,8 +56,8 @@ def alike_names(names: DataFrame, floor: float = NAME_FLOOR) -> DataFrame:
     low = F.greatest(F.lit(0), start - F.col("i"), start + shift - rest)
     high = F.least(F.col("len") - size, start + F.col("i"), start + shift + rest)
     probe = probe.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).withColumn("size", size).filter("low <= high")
-    probe = probe.withColumn("p", F.explode(F.sequence(F.col("low"), F.col("high")))).select(F.col("name").alias("long"), "k", "edits", "i", F.substring(F.col("name"), F.col("p") + 1, F.col("size")).alias("seg"))
-    met = index.join(probe, ["k", "edits", "i", "seg"]).filter("short <> long").select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
+    probe = probe.withColumn("p", F.explode(F.sequence(F.col("low"), F.col("high")))).select(F.col("name").alias("y"), "k", "edits", "i", F.substring(F.col("name"), F.col("p") + 1, F.col("size")).alias("seg"))
+    met = index.join(probe, ["k", "edits", "i", "seg"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     longer = F.greatest(F.length("a"), F.length("b"))
     return met.filter(F.levenshtein("a", "b") <= (1 - floor) * longer + 1e-9)
 
@@ -66,7 +72,7 @@ def fuzzy_pairs(signals: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataF
     """
     reps = signals.groupBy("name", "phone", "domain", "addr").agg(F.min("id").alias("id")).filter("name <> ''")
     kinds = reps.withColumn("kind", F.when(F.col("phone").isNotNull(), 1).otherwise(0) + F.when(F.col("domain").isNotNull(), 2).otherwise(0))
-    near = alike_names(reps)
+    near = alike_names(reps, probes=reps.filter("phone is null"))  # of a pair that may match, one side has no phone
     same = reps.select(F.col("name").alias("a"), F.col("name").alias("b")).distinct()
     l = kinds.select(*[F.col(c).alias(f"l_{c}") for c in ("name", "phone", "domain", "addr", "kind")], F.col("id").alias("left_id"), F.col("name").alias("a"))
     r = kinds.select(*[F.col(c).alias(f"r_{c}") for c in ("name", "phone", "domain", "addr", "kind")], F.col("id").alias("right_id"), F.col("name").alias("b"))

@@ -40,6 +40,9 @@ def test_alike_names_equals_all_pairs(spark):
         got = {(r["a"], r["b"]) for r in pairs.alike_names(spark.createDataFrame([(n,) for n in names] + [(None,), ("",), (names[0],)], "name string"), floor).collect()}
         want = {(a, b) for a, b in itertools.combinations(names, 2) if 1 - distance(a, b) / max(len(a), len(b)) >= floor - 1e-12}
         assert got == want and (floor > 0.8 or len(want) > 500)
+        some = names[::7]
+        part = pairs.alike_names(spark.createDataFrame([(n,) for n in names], "name string"), floor, spark.createDataFrame([(n,) for n in [*some, "unknown"]], "name string"))
+        assert {(r["a"], r["b"]) for r in part.collect()} == {p for p in want if set(p) & set(some)}
     assert pairs.alike_names(spark.createDataFrame([], "name string")).count() == 0
 
 
