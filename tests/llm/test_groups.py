@@ -125,3 +125,13 @@ def test_truth_discovery_runs_until_it_settles(spark):
     with pytest.raises(RuntimeError):
         survivor.truth_discovery(df, rounds=1)
     assert survivor.truth_discovery(df)[0].count() == 40
+
+
+def test_truth_by_kinds_of_fields_equals_truth_by_claims(spark):
+    """Few sources go another way to the same values, supports and weights; ties, repeats and one hot item included."""
+    rng = random.Random(21)
+    claims = [(rng.randrange(40) if rng.random() < 0.7 else 0, rng.randrange(3), rng.randrange(6), rng.choice("abcde")) for _ in range(900)]
+    df = spark.createDataFrame(claims + claims[:50] + [(1, 1, None, "a"), (None, 1, 1, "a")], "item int, field int, value int, source string")
+    (x, xw), (y, yw) = survivor.truth_discovery(df), survivor.truth_discovery(df, few=0)
+    same = lambda df, n: sorted((*map(str, tuple(r)[:n]), round(tuple(r)[n], 6)) for r in df.collect())
+    assert same(x, 3) == same(y, 3) and same(xw, 1) == same(yw, 1)
