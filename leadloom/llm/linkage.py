@@ -3,7 +3,8 @@
 Method: candidate pairs from blocks on the rarest name tokens, joined with phone, building, web site or city;
 each pair gets prior log-odds from its partial agreements; then loopy belief propagation with one-to-one
 factors (a record has at most one partner in each other provider): messages go between pairs through window
-sums until they settle, and every pair ends with a marginal match probability. Accepted pairs are closed
+sums until they settle, and every pair ends with a marginal match probability. Pairs that have a token and the
+city in common, but neither a like name nor another trait, are counted, never made. Accepted pairs are closed
 transitively, since a business that moved and changed its number shows both ends only through a third record.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.session import cut
+from leadloom.session import cut, respread
 
 from .addresses import KEY, buildings, deletions, entity_texts, folded, one_edit, one_reading, places, read_addresses
 
@@ -27,6 +28,8 @@ WEIGHTS = {
 NAME_ALIKE = 0.8
 SHARED_WEB_NAMES = 12
 SHARED_PHONE_PLACES = 12
+# Blocks of a city and token with more records are joined by like names; either way gives the same result.
+CROWD = 64
 
 def name_tokens(c: Column) -> Column:
     """Words of a business name without legal forms, remarks, town suffix and possessive endings."""
@@ -98,7 +101,8 @@ def candidates(records: DataFrame) -> DataFrame:
 
     Phone and building pairs are joined as they are. Pairs with only host or city in common need one side
     without phone or without building (else they conflict in both and can't match), so only such records are
-    joined with their whole block, however many share it: the share of open records bounds the work, not a cap.
+    joined with their block, however many share it. A city's block of a common token grows with the square of the
+    table, so there only like names are joined; the rest of the block is counted by unlike_mass.
     """
     r = records.select("record_no", "provider_id", "phone", "building", "web", "city", F.explode("keys").alias("v"))
 
@@ -107,23 +111,70 @@ def candidates(records: DataFrame) -> DataFrame:
         a, b = k.toDF("l", "lp", key, "v"), k.toDF("r", "rp", key, "v")
         return a.join(b, [key, "v"]).filter("l < r and lp <> rp").select("l", "r")
 
-    def weak(key: str) -> DataFrame:
-        k = r.filter(F.col(key).isNotNull()).select("record_no", "provider_id", key, "v", (F.col("phone").isNull() | F.col("building").isNull()).alias("open"))
-        a, b = k.filter("open").drop("open").toDF("o", "op", key, "v"), k.drop("open").toDF("x", "xp", key, "v")
-        return a.join(b, [key, "v"]).filter("op <> xp").select(F.least("o", "x").alias("l"), F.greatest("o", "x").alias("r"))
+    k = r.filter("web is not null").select("record_no", "provider_id", "web", "v", _open().alias("open"))
+    a, b = k.filter("open").drop("open").toDF("o", "op", "web", "v"), k.drop("open").toDF("x", "xp", "web", "v")
+    weak = a.join(b, ["web", "v"]).filter("op <> xp").select(F.least("o", "x").alias("l"), F.greatest("o", "x").alias("r"))
+    return strong("phone").unionByName(strong("building")).unionByName(weak).unionByName(_like_in_city(records)).distinct()
 
-    return strong("phone").unionByName(strong("building")).unionByName(weak("web")).unionByName(weak("city")).distinct()
+
+def _open() -> Column:
+    return F.col("phone").isNull() | F.col("building").isNull()
+
+
+def _like(x: Column, y: Column) -> Column:
+    """Equal tokens, one edit, two in tokens of one length, or an abbreviation."""
+    shorter, longer = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    edits = (shorter >= 4) & ((F.levenshtein(x, y, 1) >= 0) | ((shorter == longer) & (shorter >= 5) & (F.levenshtein(x, y, 2) >= 0)))
+    return (x == y) | edits | ((shorter >= 3) & (x.startswith(y) | y.startswith(x)))
+
+
+def like_tokens(tokens: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, t, u): every token of (*by, t) with all tokens of its block that are like it, itself included.
+
+    Tokens one edit apart share a word with at most one letter less, those of one length two edits apart a word with
+    two letters less; an abbreviation is a beginning of the other.
+    """
+    t = cut(respread(tokens.select(*by, "t").distinct()))
+    less = lambda i: F.concat(F.substring(F.col("t"), F.lit(1), i - 1), F.substring(F.col("t"), i + 1, F.length("t")))
+    one = t.filter("length(t) >= 4").select(*by, "t", F.explode(F.sequence(F.lit(0), F.length("t"))).alias("i")).select(*by, "t", F.when(F.col("i") == 0, F.xxhash64("t")).otherwise(F.xxhash64(less(F.col("i")))).alias("k"))
+    two = t.filter("length(t) >= 5").select(*by, "t", F.explode(F.sequence(F.lit(1), F.length("t") - 1)).alias("i")).select(*by, "t", "i", F.explode(F.sequence(F.col("i") + 1, F.length("t"))).alias("j"))
+    middle = F.substring(F.col("t"), F.col("i") + 1, F.col("j") - F.col("i") - 1)
+    two = two.select(*by, "t", F.xxhash64(F.concat(F.substring(F.col("t"), F.lit(1), F.col("i") - 1), middle, F.substring(F.col("t"), F.col("j") + 1, F.length("t"))), F.length("t")).alias("k"))
+    kept = one.unionByName(two)
+    near = kept.join(kept.withColumnRenamed("t", "u"), [*by, "k"]).filter("t < u").select(*by, "t", "u")
+    starts = t.filter("length(t) > 3").select(*by, F.col("t").alias("u"), F.explode(F.sequence(F.lit(3), F.length("t") - 1)).alias("n")).select(*by, "u", F.substring(F.col("u"), F.lit(1), F.col("n")).alias("t"))
+    pairs = near.unionByName(t.join(starts, [*by, "t"]).select(*by, "t", "u")).distinct().filter(_like(F.col("t"), F.col("u")))
+    return pairs.unionByName(pairs.select(*by, F.col("u").alias("t"), F.col("t").alias("u"))).unionByName(t.select(*by, "t", F.col("t").alias("u")))
+
+
+def _like_in_city(records: DataFrame) -> DataFrame:
+    """(l, r): pairs of one city that share a key, one side open: small blocks whole, of others all alike by NAME_ALIKE.
+
+    Of alike names no more than 1 - NAME_ALIKE of both weights finds nothing like it. A name's head is its weightiest
+    tokens, just enough to outweigh that share of its own weight: so one token at least of either head finds a like one.
+    """
+    r = records.filter("city is not null and provider_id is not null").select("record_no", "provider_id", "city", F.explode("keys").alias("v"), _open().alias("open"), "ws")
+    r = cut(r.join(r.groupBy("city", "v").agg((F.count("*") > CROWD).alias("crowd")), ["city", "v"]))
+
+    def met(a: DataFrame, b: DataFrame, *more: str) -> DataFrame:
+        on = ["city", "v", *more]
+        a, b = a.select("record_no", "provider_id", *on).toDF("o", "op", *on), b.select("record_no", "provider_id", *on).toDF("x", "xp", *on)
+        return a.join(b, on).filter("op <> xp").select(F.least("o", "x").alias("l"), F.greatest("o", "x").alias("r"))
+
+    few, many = r.filter("not crowd"), r.filter("crowd")
+    weight = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, x: s + x["w"])
+    heads = F.transform("ws", lambda x, i: F.struct(x["t"].alias("t"), (weight(F.slice("ws", 1, i)) <= (1 - NAME_ALIKE) * weight(F.col("ws")) + 1e-9).alias("head")))
+    words = many.select("record_no", "provider_id", "city", "v", "open", F.explode(heads).alias("x")).select("record_no", "provider_id", "city", "v", "open", "x.t", "x.head")
+    glued = many.withColumn("u", F.array_join(F.array_sort(F.transform("ws", lambda x: x["t"])), ""))
+    spelt, asis = words.filter("open").join(like_tokens(words, ["city", "v"]), ["city", "v", "t"]), words.withColumn("u", F.col("t"))
+    by_name = met(spelt.filter("head"), asis, "u").unionByName(met(spelt.filter("not head"), asis.filter("head"), "u")).unionByName(met(glued.filter("open"), glued, "u"))
+    return met(few.filter("open"), few).unionByName(by_name)
 
 
 def name_likeness(a: Column, b: Column) -> Column:
     """Share of the name tokens' weight that finds a like token on the other side (equal, one edit, abbreviation)."""
-    def like(x: Column, y: Column) -> Column:
-        shorter, longer = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
-        edits = (shorter >= 4) & ((F.levenshtein(x, y, 1) >= 0) | ((shorter == longer) & (shorter >= 5) & (F.levenshtein(x, y, 2) >= 0)))
-        return (x == y) | edits | ((shorter >= 3) & (x.startswith(y) | y.startswith(x)))
-
     def found(p: Column, q: Column) -> Column:
-        return F.aggregate(p, F.lit(0.0), lambda s, x: s + F.when(F.exists(q, lambda y: like(x["t"], y["t"])), x["w"]).otherwise(0.0))
+        return F.aggregate(p, F.lit(0.0), lambda s, x: s + F.when(F.exists(q, lambda y: _like(x["t"], y["t"])), x["w"]).otherwise(0.0))
 
     total = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + x["w"])
     glued = lambda p: F.array_join(F.array_sort(F.transform(p, lambda x: x["t"])), "")
@@ -149,23 +200,66 @@ def scored(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return cut(j.select("l", "r", "lp", "rp", theta.alias("theta")))  # read several times
 
 
+def unlike_mass(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """(record, provider, above, mass): odds of the pairs of one city that share a key and aren't among pairs, by record.
+
+    above tells the sum over partners with a larger number from that over smaller ones. Such a pair has no like name
+    and no equal phone, building or host, so its log-odds follow from which of these each side lacks. The partners are
+    counted by city, keys, provider and what they lack: those that share any of a record's keys are those of each set
+    of its keys, added and taken off in turn. Of these the pairs made are taken off.
+    """
+    lacks = sum(F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(("phone", "building", "web")))
+    r = cut(records.filter("city is not null and provider_id is not null and size(keys) > 0").select("record_no", "provider_id", "city", F.array_sort("keys").alias("keys"), lacks.alias("lacks")))
+    a, b = r.drop("keys").toDF("l", "lp", "city", "ll"), r.drop("keys", "provider_id").toDF("r", "city", "rl")
+    made = cut(pairs.select("l", "r", "rp").join(a, "l").join(b, ["r", "city"]).filter("(ll & 3) <> 0 or (rl & 3) <> 0"))
+    wanted = pairs.select(F.col("l").alias("record_no"), F.col("rp").alias("provider")).unionByName(pairs.select(F.col("r").alias("record_no"), F.col("lp").alias("provider"))).distinct()
+    sets = lambda df: df.withColumn("m", F.explode(F.expr("sequence(1, shiftleft(1, size(keys)) - 1)"))).withColumn(
+        "keys", F.array_join(F.expr("filter(keys, (x, i) -> (shiftright(m, i) & 1) = 1)"), " "))
+    there = sets(r).select("city", "keys", F.col("provider_id").alias("provider"), "record_no", "lacks", F.lit(0).alias("sign"))
+    asked = sets(r.drop("provider_id").join(wanted, "record_no")).select("city", "keys", "provider", "record_no", "lacks", F.when(F.bit_count("m") % 2 == 1, 1).otherwise(-1).alias("sign"))
+    block = Window.partitionBy("city", "keys", "provider")
+    upto = block.orderBy("record_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ns = range(8)
+    one = lambda i: F.count_if((F.col("sign") == 0) & (F.col("lacks") == i))
+    counted = there.unionByName(asked).select("*", *[one(i).over(upto).alias(f"b{i}") for i in ns], *[one(i).over(block).alias(f"n{i}") for i in ns]).filter("sign <> 0")
+    side = lambda above: counted.select("record_no", "provider", F.lit(above).alias("above"), "lacks", *[(F.col("sign") * ((F.col(f"n{i}") - F.col(f"b{i}")) if above else F.col(f"b{i}"))).alias(f"c{i}") for i in ns])
+    off = lambda own, other, p, above, mine, its: made.select(F.col(own).alias("record_no"), F.col(p).alias("provider"), F.lit(above).alias("above"), F.col(mine).alias("lacks"), *[F.when(F.col(its) == i, -1).otherwise(0).cast("bigint").alias(f"c{i}") for i in ns])
+    every = side(True).unionByName(side(False)).unionByName(off("l", "r", "rp", True, "ll", "rl")).unionByName(off("r", "l", "lp", False, "rl", "ll"))
+    w = WEIGHTS
+
+    def odds(i: int) -> Column:
+        both = lambda bit, no: F.when((F.col("lacks").bitwiseAND(bit) == 0) & F.lit(i & bit == 0), w[no]).otherwise(0.0)
+        theta = F.lit(w["prior"] + w["other_name"]) + both(1, "other_phone") + both(2, "other_building") + both(4, "other_web")
+        return F.when((F.col("lacks").bitwiseAND(3) != 0) | F.lit(i & 3 != 0), F.exp(theta) * F.col(f"c{i}")).otherwise(0.0)
+
+    return every.groupBy("record_no", "provider", "above", "lacks").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in ns]).select(F.col("record_no").alias("record"), "provider", "above", sum((odds(i) for i in ns), F.lit(0.0)).alias("mass"))
+
+
 #: Pairs below this log-odds can't become a match, since messages only lower it; in the loop they are only told as mass.
 HOPELESS = -5.0
 
 
-def believe(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-3, hopeless: float = HOPELESS) -> DataFrame:
+def believe(pairs: DataFrame, records: DataFrame | None = None, rounds: int = 1000, tolerance: float = 1e-3, hopeless: float = HOPELESS) -> DataFrame:
     """(l, r, lp, rp, probability): marginals of pairs (l, r, lp, rp, theta) under one-to-one factors.
 
     A record takes part in one factor for each other provider: at most one of its pairs there is true. The
     factor's message to a pair is -log(1 + sum of the odds of its other pairs). Pairs below hopeless send the same odds
     in every round, those of their own evidence, as one sum a factor, and keep that evidence's probability; pairs
-    without a rival need no message; both stay out of the loop. An empty table gives an empty result. The loop runs
+    without a rival need no message; both stay out of the loop. With records, the mass of the pairs that candidates leaves
+    to be counted is told as well. An empty table gives an empty result. The loop runs
     until no message moves by tolerance; rounds only guards against an endless one, and reaching it is an error.
     """
     left, right = Window.partitionBy("l", "rp"), Window.partitionBy("r", "lp")
     marginal = lambda x: 1 / (1 + F.exp(-x))
     live, lost = pairs.filter(F.col("theta") >= hopeless), pairs.filter(F.col("theta") < hopeless)
-    mass = lambda a, b, name: lost.groupBy(a, b).agg(F.sum(F.exp("theta")).alias(name))
+    rest = cut(unlike_mass(pairs, records)) if records is not None else None
+
+    def mass(a: str, b: str, name: str) -> DataFrame:
+        told = lost.select(a, b, F.exp("theta").alias("mass"))
+        if rest is not None:
+            told = told.unionByName(rest.filter(F.col("above") == F.lit(a == "l")).select(F.col("record").alias(a), F.col("provider").alias(b), "mass"))
+        return told.groupBy(a, b).agg(F.sum("mass").alias(name))
+
     known = live.join(mass("l", "rp", "cl"), ["l", "rp"], "left").join(mass("r", "lp", "cr"), ["r", "lp"], "left").select(
         "l", "r", "lp", "rp", "theta", F.coalesce("cl", F.lit(0.0)).alias("cl"), F.coalesce("cr", F.lit(0.0)).alias("cr")
     )
@@ -200,7 +294,7 @@ def match_entities(entities: DataFrame, leads: DataFrame, threshold: float = 0.5
     match nothing; repeats count once.
     """
     records = cut(prepared(entities, leads))
-    marginals = cut(believe(scored(candidates(records), records)).filter(F.col("probability") >= threshold))
+    marginals = cut(believe(scored(candidates(records), records), records).filter(F.col("probability") >= threshold))
     groups = _closed_groups(marginals)
     direct = marginals.select(F.col("l").alias("left_no"), F.col("r").alias("right_no"), F.col("probability").alias("confidence"))
     provider = marginals.select(F.explode(F.array(F.struct(F.col("l").alias("node"), F.col("lp").alias("p")), F.struct(F.col("r").alias("node"), F.col("rp").alias("p")))).alias("x")).select("x.node", "x.p").distinct()

@@ -185,3 +185,29 @@ def test_a_phone_of_everybody_is_no_evidence(spark):
     assert all(held[i] is None for i in range(90)) and held[900] == held[901] == "5551234567"
     got = {(r["l"], r["r"]) for r in linkage.candidates(prepared).collect()}
     assert (900, 901) in got
+
+
+def test_unlike_names_of_a_city_are_counted_not_made(spark, monkeypatch):
+    """Nobody's probability changes, though a crowded block's unlike pairs aren't joined (before: all of them were)."""
+    monkeypatch.setattr(linkage, "CROWD", 8)
+    rng = random.Random(3)
+    stems = ["corwin", "dunmore", "ashbury", "kelso", "quilter", "fenwick", "garrick", "wolverton"]
+    bend = lambda w: rng.choice([w, w, w[:-1] + "x", w[:4], w[1:] + "q", w[0] + "z" + w[2:]])
+    rows = []
+    for i in range(220):
+        name = " ".join([bend(rng.choice(stems)), *rng.choice([["bakery"], ["dental", "clinic"], ["bakery", "house"], []])])
+        town = rng.choice([("Millford", "North Quay", "410107"), ("Otherton", "Eastgate", "420100")])
+        line = rng.choice([None, f"{rng.randrange(1, 40)} Teal Street", f"{rng.randrange(1, 40)} Teal Street"])
+        rows.append((i, f"p{rng.randrange(4)}", name, rng.choice([None, f"55500000{rng.randrange(90):02}"]), rng.choice([None, None, f"s{rng.randrange(30)}.example"]), (line, town[1], town[0], town[2], "Land")))
+    r = linkage.prepared(spark.createDataFrame(rows, ENT), leads(spark)).localCheckpoint()
+    found = linkage.candidates(r).localCheckpoint()
+    k = r.filter("city is not null").select("record_no", "provider_id", "city", "keys", (F.col("phone").isNull() | F.col("building").isNull()).alias("open"))
+    a, b = k.toDF("l", "lp", "city", "lk", "lo"), k.toDF("r", "rp", "city", "rk", "ro")
+    block = a.join(b, "city").filter("l < r and lp <> rp and (lo or ro)").filter(F.arrays_overlap("lk", "rk")).select("l", "r")
+    every = found.union(block).distinct()
+    n, m = found.count(), every.count()
+    assert m > 1500 and n < 0.6 * m
+    probability = lambda pairs, *x: {(p["l"], p["r"]): p["probability"] for p in linkage.believe(linkage.scored(pairs, r), *x).collect()}
+    got, want, untold = probability(found, r), probability(every), probability(found)
+    assert got.keys() <= want.keys() and all(want[p] < 1e-4 for p in want.keys() - got.keys())
+    assert max(abs(got[p] - want[p]) for p in got) < 1e-12 < max(abs(untold[p] - want[p]) for p in got)
