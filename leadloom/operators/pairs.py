@@ -72,7 +72,9 @@ def fuzzy_pairs(signals: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataF
     """
     reps = signals.groupBy("name", "phone", "domain", "addr").agg(F.min("id").alias("id")).filter("name <> ''")
     kinds = reps.withColumn("kind", F.when(F.col("phone").isNotNull(), 1).otherwise(0) + F.when(F.col("domain").isNotNull(), 2).otherwise(0))
-    near = alike_names(reps, probes=reps.filter("phone is null"))  # of a pair that may match, one side has no phone
+    # of a pair that may match, one side has no phone; a record with phone and domain meets only those with neither
+    near = alike_names(kinds.filter("kind <> 3"), probes=kinds.filter("kind in (0, 2)"))
+    near = near.unionByName(alike_names(kinds.filter("kind in (0, 3)"), probes=kinds.filter("kind = 0"))).distinct()
     same = reps.select(F.col("name").alias("a"), F.col("name").alias("b")).distinct()
     l = kinds.select(*[F.col(c).alias(f"l_{c}") for c in ("name", "phone", "domain", "addr", "kind")], F.col("id").alias("left_id"), F.col("name").alias("a"))
     r = kinds.select(*[F.col(c).alias(f"r_{c}") for c in ("name", "phone", "domain", "addr", "kind")], F.col("id").alias("right_id"), F.col("name").alias("b"))

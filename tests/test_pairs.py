@@ -72,6 +72,16 @@ def test_fuzzy_pairs_equal_all_pairs(spark):
     assert members["r999"] == members["r000"] and len(members) == 163
 
 
+def test_full_records_are_compared_only_with_bare_ones(spark, monkeypatch):
+    """Names of records with phone and domain don't enter the index where the other side may have either (before: all did)."""
+    seen, real = [], pairs.alike_names
+    monkeypatch.setattr(pairs, "alike_names", lambda names, *a, **k: (seen.append({r["name"] for r in names.collect()}), real(names, *a, **k))[1])
+    rows = [("a", "corwin bakery", "1", "x", "12 teal street"), ("b", "corwin bakry", None, "y", "12 teal street"), ("c", "corwin bakary", "2", None, "12 teal street"), ("d", "corwin bakery s", None, None, "12 teal street")]
+    got = {(r["left_id"], r["right_id"]) for r in pairs.fuzzy_pairs(spark.createDataFrame(rows, "id string, name string, phone string, domain string, addr string")).collect()}
+    assert got == {("b", "c"), ("a", "d"), ("b", "d"), ("c", "d")}
+    assert seen == [{"corwin bakry", "corwin bakary", "corwin bakery s"}, {"corwin bakery", "corwin bakery s"}]
+
+
 def test_merging_children_and_id_lists(spark):
     mapping = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "id string, survivor string")
     sites = spark.createDataFrame([("b", "x.example", 1), ("a", "x.example", 2), ("b", "y.example", 3), (None, "z.example", 4)], "owner string, domain string, n int")
