@@ -58,23 +58,27 @@ _planning = threading.Lock()
 _tables: list[tuple[SparkSession, str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Materialise df in the shared folder and cut its lineage; survives lost executors. Keeps its partitioning.
 
+    parts: shuffle partitions for this step alone, where df is known to be small for the session's number.
+
     A checkpoint also carries the plan's constraints along; over many rounds these grow until planning takes
-    longer than running, so their propagation is off while the checkpoint is made. That setting belongs to the
+    longer than running, so their propagation is off while the checkpoint is made. These settings belong to the
     session, so threads that share one session take turns.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    key = "spark.sql.constraintPropagation.enabled"
+    now = {"spark.sql.constraintPropagation.enabled": "false"} | ({"spark.sql.shuffle.partitions": str(parts)} if parts else {})
     with _planning:
-        before = spark.conf.get(key, "true")
-        spark.conf.set(key, "false")
+        before = {k: spark.conf.get(k) for k in now}
         try:
+            for k, v in now.items():
+                spark.conf.set(k, v)
             return df.checkpoint(eager=True)
         finally:
-            spark.conf.set(key, before)
+            for k, v in before.items():
+                spark.conf.set(k, v)
 
 
 def saved(df: DataFrame) -> DataFrame:

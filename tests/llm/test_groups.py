@@ -27,6 +27,32 @@ def test_groups_match_union_find(spark):
     assert got == want | {"n900": "n900"}
 
 
+def test_groups_by_levels_and_in_one_task_are_the_same(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)] + [(200 + i, 201 + i) for i in range(60)] + [(400, 401 + i) for i in range(80)]
+    rows = [(f"n{a:03}", f"n{b:03}") for a, b in pairs]
+    want, df = union_find(rows, {x for r in rows for x in r}), spark.createDataFrame(rows, "a string, b string")
+    for last in (0, 40, 10**6):
+        got = {r["node"]: r["group_id"] for r in components.connected_groups(df, "a", "b", beta=0.5, rounds=2, last_edges=last).collect()}
+        assert got == want
+
+
+def test_rounds_take_no_more_tasks_than_their_rows_need(spark, monkeypatch):
+    """Stages and tasks that the driver must track follow the edges, not the session's partitions (before: each of 60 rounds and more took all 64)."""
+    asked, real = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, *a: (asked.append(a), real(df, *a))[1])
+    df = spark.createDataFrame([(f"n{i:04}", f"n{i + 1:04}") for i in range(500)], "a string, b string")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        groups = components.connected_groups(df, "a", "b").select("group_id").distinct().collect()
+        assert [r[0] for r in groups] == ["n0000"] and len(asked) <= 4  # nodes, edges, the one task, the composed names
+        asked.clear()
+        assert components.connected_groups(df, "a", "b", last_edges=0).count() == 501
+        assert len(asked) > 10 and {a for a in asked if a} == {(spark.sparkContext.defaultParallelism,)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_match_groups_cases(spark):
     s = "left_id string, right_id string, entity_match_score double, group_id int"
     df = spark.createDataFrame([(" A ", "b", 0.9, 1), ("B", "c", 0.82, 1), ("c", "d", float("nan"), 1), ("d", "e", None, 1), ("e", "f", 0.81, 1), (None, "g", 1.0, 1), ("h", "H", 1.0, 1), ("a", "b", 0.1, 1)], s)
