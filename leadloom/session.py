@@ -123,7 +123,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def respread(df: DataFrame) -> DataFrame:
-    """Rows evenly over the usual number of shuffle partitions, before work that is heavy for its rows' size."""
+def respread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows evenly, or by keys, over the usual number of shuffle partitions, before work that is heavy for its rows' size."""
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

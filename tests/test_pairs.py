@@ -82,6 +82,22 @@ def test_full_records_are_compared_only_with_bare_ones(spark, monkeypatch):
     assert seen == [{"corwin bakry", "corwin bakary", "corwin bakery s"}, {"corwin bakery", "corwin bakery s"}]
 
 
+def test_like_names_at_unlike_addresses_are_not_kept(spark, monkeypatch):
+    """Only pairs that reach the threshold leave the comparison of names (before: every pair of like names did), and all of those do."""
+    kept, real = [], pairs.alike_names
+    monkeypatch.setattr(pairs, "alike_names", lambda *a, **k: (kept.append(real(*a, **k)), kept[-1])[1])
+    rng = random.Random(17)
+    rows = [(f"r{i:03d}", spoilt(rng, "harbour dental clinic", rng.randrange(7)), *rng.choice([("1", None), (None, "x")]), spoilt(rng, "12 teal street|upper green|millford", rng.randrange(13))) for i in range(120)]
+    rows += [(f"s{i:03d}", f"dental clinic no {i}", *[("1", None), (None, "x")][i % 2], f"{chr(97 + i % 26) * 9} {i * 7919} road") for i in range(40)]
+    rows = sorted({r[1:]: r for r in reversed(rows)}.values())  # one row a signal, the smallest id
+    like = lambda a, b: 1 - distance(a, b) / max(len(a), len(b))
+    found = {(x[0], y[0]): (0.25 * like(x[1], y[1]) + 0.1 * like(x[4], y[4])) / 0.35 for x, y in itertools.combinations(rows, 2) if x[2] != y[2]}
+    want = {k: v for k, v in found.items() if v >= 0.82}
+    got = {(r["left_id"], r["right_id"]): r["score"] for r in pairs.fuzzy_pairs(spark.createDataFrame(rows, "id string, name string, phone string, domain string, addr string")).collect()}
+    assert got.keys() == want.keys() and 100 < len(want) < len(found) / 2 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert sum(k.count() for k in kept) <= len(want)
+
+
 def test_merging_children_and_id_lists(spark):
     mapping = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "id string, survivor string")
     sites = spark.createDataFrame([("b", "x.example", 1), ("a", "x.example", 2), ("b", "y.example", 3), (None, "z.example", 4)], "owner string, domain string, n int")
